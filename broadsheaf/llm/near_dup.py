@@ -168,7 +168,8 @@ def _verified(blocks: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, band_count: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the least id of its class) and class_rows (rows of the class)."""
+    """One row per document: doc_id, class_id (the least id of its class), class_rows, text_hash (xxhash64 of the text) and
+    kept (its text stands for the class: the least id's, of several texts with that id the one with the least hash)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,6 +200,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, band_co
     whole = keyed.join(dealt, (keyed["h1"] == dealt["node"]) & keyed["doc_id"].eqNullSafe(dealt["least"])).select("root", "i", "j", "node", "text")
     links = components(_verified(whole, n, threshold), "node", "other")
     named = nodes.select("node", "least", "rows").join(links, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root"))
-    sums = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_rows"))
-    of_node = named.join(sums, "root").select(F.col("node").alias("h1"), "class_id", "class_rows")
-    return signed.select("doc_id", "h1").join(of_node, "h1").select("doc_id", "class_id", "class_rows")
+    sums = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first"), F.sum("rows").alias("class_rows"))
+    of_node = named.join(sums, "root").select(F.col("node").alias("h1"), F.col("first.least").alias("class_id"), "class_rows", (F.col("node") == F.col("first.node")).alias("stands"))
+    out = signed.select("doc_id", "h1").join(of_node, "h1")
+    return out.select("doc_id", "class_id", "class_rows", F.col("h1").alias("text_hash"), (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))

@@ -188,16 +188,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the features of every whole text."""
+    """doc_id, a hash of the text and the features of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x = features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["doc_id", *FEATURES])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h1"), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["doc_id", "h1", *FEATURES])
 
     tune(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return texts(docs, id_col, text_col).withColumn("h1", F.xxhash64("text")).mapInArrow(run, "doc_id long, h1 long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -205,7 +205,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+    """One row per document: doc_id, held_out, score, predicted, text_hash (xxhash64 of the text)."""
     x = materialise(measured(docs, id_col, text_col), "features")
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and doc_id is not null").where(~held_out())
     marks = marks.groupBy("doc_id").agg(F.avg("y").alias("y"))
@@ -215,7 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = model.score(np.column_stack([np.asarray(b.column(f)) for f in FEATURES]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got), pa.array((got >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), pa.array(got), pa.array((got >= cut).astype(np.int32))], names=["doc_id", "h1", "score", "predicted"])
 
-    scored = x.mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    scored = x.mapInArrow(run, "doc_id long, h1 long, score double, predicted int")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", F.col("h1").alias("text_hash"))

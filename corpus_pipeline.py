@@ -1,23 +1,66 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, personal data, packing."""
+"""The corpus pipeline: quality, near duplicates, decontamination, personal data, packing.
+
+Every stage works on all its predecessor kept; all but the last return the columns of ``documents``. Rows are told
+apart by id and text, so repeated ids with different texts are decided on their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from broadsheaf.llm import decontaminate, near_dup, packing, pii, quality_gam
+from broadsheaf.llm.common import materialise, table
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are in ``keys`` (doc_id, text_hash)."""
+    k = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return hashed.join(k, F.col("__own").eqNullSafe(F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").drop("__own")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    scored = quality_gam.score(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, scored.where("predicted = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the least id."""
+    found = near_dup.near_duplicates(docs)
+    once = _kept(docs, found.where("kept"))
+    hashed = once.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return hashed.dropDuplicates(["doc_id", "__own"]).drop("__own")  # repeated rows
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+
 
-from broadsheaf.llm import packing
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal data."""
+    done = pii.pseudonymise(docs, found_col=None)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("pack", pack)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("pack", pack)]
 
+#: Classifier, signatures, latent retrieval and tokenizer are beyond SQL: tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, name)
     return docs
