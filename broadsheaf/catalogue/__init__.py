@@ -1,3 +1,3 @@
 """Registered queries, by theme; importing this package registers all of them."""
 
-from . import quality, rates, search  # noqa: F401
+from . import campaigns, extras, logs, pipeline, quality, rates, scalars, search, windows  # noqa: F401

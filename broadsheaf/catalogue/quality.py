@@ -64,9 +64,9 @@ for _name, _keys in {"language_decade": ("lang", "decade"), "title": ("lccn",)}.
         return signals(spark, sf_dir).where("damage_rate is not null").groupBy(*keys).agg(F.count("*").alias("scored"), F.round(F.median("damage_rate"), 3).alias("p50"))
 
 
-@register("q_batches", sql(" SELECT batch, count(*) AS pages, count(damage_rate) AS scored, count(*) FILTER (damage_rate > 0.25) AS bad, round(avg(damage_rate), 3) AS mean_damage, count(DISTINCT lccn) AS titles, min(decade) AS first_decade, max(decade) AS last_decade FROM s GROUP BY 1"))
+@register("q_batches", sql(" SELECT batch, count(*) AS pages, count(damage_rate) AS scored, count(*) FILTER (damage_rate > 0.25) AS bad, round(avg(damage_rate), 9) AS mean_damage, count(DISTINCT lccn) AS titles, min(decade) AS first_decade, max(decade) AS last_decade FROM s GROUP BY 1"))
 def _batches(spark, sf_dir):
-    return signals(spark, sf_dir).groupBy("batch").agg(F.count("*").alias("pages"), F.count("damage_rate").alias("scored"), F.count_if(D() > 0.25).alias("bad"), F.round(F.avg("damage_rate"), 3).alias("mean_damage"), F.count_distinct("lccn").alias("titles"), F.min("decade").alias("first_decade"), F.max("decade").alias("last_decade"))
+    return signals(spark, sf_dir).groupBy("batch").agg(F.count("*").alias("pages"), F.count("damage_rate").alias("scored"), F.count_if(D() > 0.25).alias("bad"), F.round(F.avg("damage_rate"), 9).alias("mean_damage"), F.count_distinct("lccn").alias("titles"), F.min("decade").alias("first_decade"), F.max("decade").alias("last_decade"))
 
 
 @register("q_crosstab", sql(f""" SELECT lang, {BAND} AS band, CASE WHEN dice IS NULL THEN '0 no pair' WHEN NOT coalesce(matched >= 0.5 AND local_cer IS NOT NULL, FALSE) THEN '1 under half placed' WHEN local_cer <= 0.1 THEN '2 up to 0.1' WHEN local_cer <= 0.2 THEN '3 up to 0.2' ELSE '4 above 0.2' END AS agreement,
@@ -98,13 +98,13 @@ def _confidence(spark, sf_dir):
 CUTS = (0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
 
 
-@register("q_reocr_outcomes", sql(f""", o AS (SELECT * FROM (SELECT doc_id // 10 AS page, doc_id, lang, damage_rate, regexp_extract('engine x profile=p' || (seq % 3) || ' image=y', 'profile=([^ ]+)', 1) AS profile, est_cer AS ours,
-    row_number() OVER (PARTITION BY doc_id // 10, seq % 3 ORDER BY words DESC, doc_id) AS n FROM s WHERE est_cer IS NOT NULL AND damage_rate IS NOT NULL) WHERE n = 1)
+@register("q_reocr_outcomes", sql(f""", o AS (SELECT * FROM (SELECT doc_id // 10000000 AS page, doc_id, lang, damage_rate, regexp_extract('engine x profile=p' || (seq % 3) || ' image=y', 'profile=([^ ]+)', 1) AS profile, est_cer AS ours,
+    row_number() OVER (PARTITION BY doc_id // 10000000, seq % 3 ORDER BY words DESC, doc_id) AS n FROM s WHERE est_cer IS NOT NULL AND damage_rate IS NOT NULL) WHERE n = 1)
   SELECT profile, lang, ({' + '.join(f'(damage_rate >= {c})::INT' for c in CUTS)})::INT AS bin, count(*) AS pages, round(median(damage_rate), 3) AS loc_p50, round(median(ours), 3) AS ours_p50, round(avg((ours < damage_rate)::INT), 3) AS lower_share, round(avg(ours - damage_rate), 3) AS mean_change FROM o GROUP BY ALL"""))
 def _outcomes(spark, sf_dir):
     s = signals(spark, sf_dir).where("est_cer is not null and damage_rate is not null")
     engine = F.concat(F.lit("engine x profile=p"), F.pmod("seq", F.lit(3)).cast("string"), F.lit(" image=y"))
-    s = s.select(F.floor(F.col("doc_id") / 10).alias("page"), "doc_id", "lang", "damage_rate", F.regexp_extract(engine, "profile=([^ ]+)", 1).alias("profile"), F.col("est_cer").alias("ours"), "words")
+    s = s.select(F.floor(F.col("doc_id") / 10000000).alias("page"), "doc_id", "lang", "damage_rate", F.regexp_extract(engine, "profile=([^ ]+)", 1).alias("profile"), F.col("est_cer").alias("ours"), "words")
     o = Q.latest_per(s, ["page", "profile"], F.desc("words"), F.asc("doc_id"))
     bin_ = sum(((D() >= c).cast("int") for c in CUTS), F.lit(0))
     return o.groupBy("profile", "lang", bin_.alias("bin")).agg(
@@ -146,9 +146,9 @@ def _pilot(spark, sf_dir):
     return Q.round_robin(e, ["tier"], ["lccn", "date", "edition"], ["lccn", "decade"], F.desc("damage_rate"), F.asc("doc_id")).where("group_rank <= 300").select("tier", "group_rank", "stratum_rank", "doc_id", "lccn", "decade")
 
 
-@register("q_eligible_strata", sql(f" SELECT {TIER} AS tier, lccn, decade, count(*) AS pages, round(avg(damage_rate), 3) AS mean_damage FROM s WHERE {ELIGIBLE} GROUP BY ALL"))
+@register("q_eligible_strata", sql(f" SELECT {TIER} AS tier, lccn, decade, count(*) AS pages, round(avg(damage_rate), 9) AS mean_damage FROM s WHERE {ELIGIBLE} GROUP BY ALL"))
 def _strata(spark, sf_dir):
-    return signals(spark, sf_dir).where(ELIGIBLE).groupBy(F.when(D() > 0.25, "bad").otherwise("upper").alias("tier"), "lccn", "decade").agg(F.count("*").alias("pages"), F.round(F.avg("damage_rate"), 3).alias("mean_damage"))
+    return signals(spark, sf_dir).where(ELIGIBLE).groupBy(F.when(D() > 0.25, "bad").otherwise("upper").alias("tier"), "lccn", "decade").agg(F.count("*").alias("pages"), F.round(F.avg("damage_rate"), 9).alias("mean_damage"))
 
 
 @register("q_text_bands", sql(f""", b AS (SELECT doc_id, dice AS len_ratio, local_cer AS other FROM s WHERE seq % 3 = 0) SELECT lang, {BAND} AS band, ocr_runs = 0 AND den >= 50 AS eligible, CASE WHEN b.doc_id IS NULL THEN '0 none' WHEN len_ratio IS NULL OR len_ratio < 0.5 THEN '1 short' WHEN other IS NULL THEN '2 not scored' WHEN other <= 0.1 THEN '3 fine' WHEN other <= 0.25 THEN '4 moderate' ELSE '5 bad' END AS other_band, count(*) AS pages
@@ -186,9 +186,9 @@ def _images(spark, sf_dir):
     return s.orderBy("stratum_rank", F.desc_nulls_last("damage_rate"), "doc_id").limit(500).select("doc_id", "lccn", "stratum_rank")
 
 
-@register("q_titles_by_benefit", sql(" SELECT lccn, count(*) AS pages, round(avg(damage_rate), 3) AS mean_damage, round(avg((damage_rate > 0.25)::INT), 3) AS bad_share, sum((ocr_runs > 0)::INT)::BIGINT AS read, sum(has_image_features::INT)::BIGINT AS imaged FROM s GROUP BY 1"))
+@register("q_titles_by_benefit", sql(" SELECT lccn, count(*) AS pages, round(avg(damage_rate), 9) AS mean_damage, round(avg((damage_rate > 0.25)::INT), 3) AS bad_share, sum((ocr_runs > 0)::INT)::BIGINT AS read, sum(has_image_features::INT)::BIGINT AS imaged FROM s GROUP BY 1"))
 def _benefit(spark, sf_dir):
-    return signals(spark, sf_dir).groupBy("lccn").agg(F.count("*").alias("pages"), F.round(F.avg("damage_rate"), 3).alias("mean_damage"), F.round(F.avg((D() > 0.25).cast("int")), 3).alias("bad_share"), F.count_if(F.col("ocr_runs") > 0).alias("read"), F.count_if("has_image_features").alias("imaged"))
+    return signals(spark, sf_dir).groupBy("lccn").agg(F.count("*").alias("pages"), F.round(F.avg("damage_rate"), 9).alias("mean_damage"), F.round(F.avg((D() > 0.25).cast("int")), 3).alias("bad_share"), F.count_if(F.col("ocr_runs") > 0).alias("read"), F.count_if("has_image_features").alias("imaged"))
 
 
 @register("q_stratified_draw", sql(f""", r AS (SELECT *, ntile(10) OVER (ORDER BY damage_rate DESC, doc_id) AS tenth FROM s WHERE damage_rate IS NOT NULL AND lang = 'eng'), p AS (SELECT doc_id, decade, {BAND} AS band FROM r WHERE tenth <= 4),
@@ -200,11 +200,11 @@ def _draw(spark, sf_dir):
     return Q.draw(r, ["decade", "band"], 1000, 30, "seed-1").select("doc_id", "decade", "band", "pages", "take", "k")
 
 
-@register("q_page_signals", sql(""", u AS (SELECT doc_id // 10 AS page, doc_id, est_cer, words, decade FROM s WHERE est_cer IS NOT NULL), latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY words DESC, doc_id) AS n FROM u) WHERE n = 1), ours AS (SELECT page, min(est_cer) AS best FROM u GROUP BY 1), runs AS (SELECT doc_id // 10 AS page, sum(ocr_runs) AS ocr_runs FROM s GROUP BY 1), x AS (SELECT DISTINCT page FROM u WHERE est_cer > 0.09)
-  SELECT p.doc_id, p.lccn, latest.est_cer AS unit_cer, best, coalesce(runs.ocr_runs, 0)::BIGINT AS ocr_runs, latest.page IS NOT NULL AS has_unit, x.page IS NULL AS allowed FROM s p LEFT JOIN latest ON latest.page = p.doc_id // 10 LEFT JOIN ours ON ours.page = p.doc_id // 10 LEFT JOIN runs ON runs.page = p.doc_id // 10 LEFT JOIN x ON x.page = p.doc_id // 10 WHERE p.seq = 1"""))
+@register("q_page_signals", sql(""", u AS (SELECT doc_id // 10000000 AS page, doc_id, est_cer, words, decade FROM s WHERE est_cer IS NOT NULL), latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY words DESC, doc_id) AS n FROM u) WHERE n = 1), ours AS (SELECT page, min(est_cer) AS best FROM u GROUP BY 1), runs AS (SELECT doc_id // 10000000 AS page, sum(ocr_runs) AS ocr_runs FROM s GROUP BY 1), x AS (SELECT DISTINCT page FROM u WHERE est_cer > 0.09)
+  SELECT p.doc_id, p.lccn, latest.est_cer AS unit_cer, best, coalesce(runs.ocr_runs, 0)::BIGINT AS ocr_runs, latest.page IS NOT NULL AS has_unit, x.page IS NULL AS allowed FROM s p LEFT JOIN latest ON latest.page = p.doc_id // 10000000 LEFT JOIN ours ON ours.page = p.doc_id // 10000000 LEFT JOIN runs ON runs.page = p.doc_id // 10000000 LEFT JOIN x ON x.page = p.doc_id // 10000000 WHERE p.seq = 1"""))
 def _page_signals(spark, sf_dir):
     """All signals of a page by left joins on its id, each chosen latest-per-key first; excluded pages are told."""
-    s = signals(spark, sf_dir).withColumn("page", F.floor(F.col("doc_id") / 10))
+    s = signals(spark, sf_dir).withColumn("page", F.floor(F.col("doc_id") / 10000000))
     u = s.where("est_cer is not null").select("page", "doc_id", "est_cer", "words")
     latest = Q.latest_per(u, ["page"], F.desc("words"), F.asc("doc_id")).select("page", F.col("est_cer").alias("unit_cer"), F.lit(True).alias("unit"))
     ours, runs = u.groupBy("page").agg(F.min("est_cer").alias("best")), s.groupBy("page").agg(F.sum("ocr_runs").alias("runs"))

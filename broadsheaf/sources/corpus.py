@@ -60,7 +60,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     h = F.pmod(key * 31 + line * 17, F.lit(100))
     return j.select(
-        (key * 10 + line).alias("doc_id"), F.concat(F.lit("t"), F.pmod(F.col("l_suppkey"), F.lit(40)).cast("string")).alias("lccn"), F.to_date("o_orderdate").alias("date"),
+        ((key * 10 + line) * 1000000 + F.col("l_partkey")).alias("doc_id"), F.concat(F.lit("t"), F.pmod(F.col("l_suppkey"), F.lit(40)).cast("string")).alias("lccn"), F.to_date("o_orderdate").alias("date"),
         (F.floor(F.year("o_orderdate") / 2) * 2).cast("int").alias("decade"), F.concat(F.lit("b"), F.pmod(F.col("l_partkey"), F.lit(30)).cast("string")).alias("batch"), F.lit(1).alias("edition"), line.alias("seq"),
         F.when(F.col("l_returnflag") == "N", "eng").when(F.col("l_returnflag") == "R", "ger").otherwise("fre").alias("lang"),
         F.when(h < 5, "no_text").when(h < 12, "und").when(h < 20, "mixed").otherwise("detected").alias("decision"),

@@ -26,7 +26,7 @@ FACTS = f"""{PLACES}, f AS (
 SIGNALS = """s0 AS (
   SELECT *, (l_orderkey * 31 + l_linenumber * 17) % 100 AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), s AS (
-  SELECT l_orderkey * 10 + l_linenumber AS doc_id, 't' || (l_suppkey % 40) AS lccn, o_orderdate::DATE AS date, ((year(o_orderdate) // 2) * 2)::INT AS decade, 'b' || (l_partkey % 30) AS batch, 1 AS edition, l_linenumber AS seq,
+  SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS doc_id, 't' || (l_suppkey % 40) AS lccn, o_orderdate::DATE AS date, ((year(o_orderdate) // 2) * 2)::INT AS decade, 'b' || (l_partkey % 30) AS batch, 1 AS edition, l_linenumber AS seq,
     CASE l_returnflag WHEN 'N' THEN 'eng' WHEN 'R' THEN 'ger' ELSE 'fre' END AS lang,
     CASE WHEN h < 5 THEN 'no_text' WHEN h < 12 THEN 'und' WHEN h < 20 THEN 'mixed' ELSE 'detected' END AS decision,
     CASE WHEN h >= 12 THEN round(l_discount * 4 + l_tax / 2, 6) END AS damage_rate, CASE WHEN l_quantity > 10 THEN round(1 - l_tax * 5, 6) END AS wc_mean,
