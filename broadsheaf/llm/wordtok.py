@@ -3,7 +3,7 @@
 The tokenizer lower-cases, drops white space and merges only inside a pre-token (a run of letters, one
 digit, a run of other characters, an English contraction). So a text's ids are those of its pre-tokens in
 order, and each distinct pre-token of a batch is merged once: all pairs of all distinct pre-tokens are looked
-up at a time and each takes its best merge, until none has one. Texts with characters from U+0250 on (where
+up at a time and each takes its best merge, until none has one. Texts with characters from U+0180 on (where
 normalisation and casing depend on neighbours) and very long pre-tokens go to the library itself.
 """
 
@@ -20,7 +20,7 @@ import regex
 from .common import ranges, spans
 
 #: From this code point on a text goes to the library.
-SIMPLE = 0x250
+SIMPLE = 0x180
 #: Bytes of a pre-token from which on it goes to the library.
 LONG = 48
 NONE = np.uint32(0xFFFFFFFF)
