@@ -9,15 +9,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_PAGE = 2 << 20
 
-CURATED = T.StructType.fromDDL(
-    "doc_id string, page_key string, lccn string, date date, year smallint, month tinyint, edition smallint, seq smallint, front_page boolean, batch string, batch_version smallint, ocr_source string, text_status string, text string, text_chars int, word_count int, text_sha256 binary, resource_url string, ingested_at timestamp"
-)
-OVERLAY = T.StructType.fromDDL("doc_id string, page_key string, lccn string, date date, edition smallint, seq smallint, batch string, ocr_source string, ocr_engine string, loc_text string, text_status string, text string, text_chars int, text_sha256 binary, image_url string, ocred_at timestamp")
-BATCHES = T.StructType.fromDDL("name string, url string, sha256 string, ocr_source string")
+CURATED = "doc_id string, page_key string, lccn string, date date, year smallint, month tinyint, edition smallint, seq smallint, front_page boolean, batch string, batch_version smallint, ocr_source string, text_status string, text string, text_chars int, word_count int, text_sha256 binary, resource_url string, ingested_at timestamp"
+OVERLAY = "doc_id string, page_key string, lccn string, date date, edition smallint, seq smallint, batch string, ocr_source string, ocr_engine string, loc_text string, text_status string, text string, text_chars int, text_sha256 binary, image_url string, ocred_at timestamp"
+BATCHES = "name string, url string, sha256 string, ocr_source string"
 LAYOUT = "array<struct<x:double,y:double,w:double,h:double,lines:array<struct<words:array<struct<text:string,x:double,y:double,w:double,h:double,conf:double>>>>>>"
 
 #: Two layouts of a page's place in an archive.
@@ -71,7 +68,7 @@ def curated(spark: SparkSession, path: str, with_text: bool = True) -> DataFrame
 
 
 def write_curated(df: DataFrame, path: str, rows_per_file: int = 20_000) -> None:
-    df.select(*CURATED.fieldNames()).write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").mode("append").parquet(path)
+    df.select(*(c.split()[0] for c in CURATED.split(", "))).write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").mode("append").parquet(path)
 
 
 def overlay(spark: SparkSession, path: str) -> DataFrame:
