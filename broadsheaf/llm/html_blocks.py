@@ -63,10 +63,11 @@ LABELLED = (
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (4, 0.9, 30, 0.0, 5, 0.8, 0, 0, 0, 0, 0), (30, 0.8, 5, 1.0, 5, 0.9, 0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 3, 0.9, 0, 0.0, 0, 0, 0, 0, 0),
     (40, 0.0, 30, 0.0, 30, 0.0, 1, 0, 0, 0, 0), (7, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (12, 0.7, 40, 0.0, 3, 0.9, 0, 0, 0, 0, 0), (90, 0.0, 9, 0.0, 40, 0.0, 1, 0, 0, 0, 0),
     (1, 0.0, 22, 0.0, 3, 0.67, 0, 0, 0, 0, 1), (2, 0.0, 18, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (10, 0.0, 20, 0.0, 15, 0.0, 0, 0, 0, 0, 1), (3, 0.67, 1, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.67, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 0.6, 2, 0.0, 25, 0.0, 0, 0, 0, 0, 0), (8, 0.0, 3, 0.67, 3, 0.67, 0, 0, 0, 0, 0),
+    (20, 0.0, 2, 1.0, 3, 0.67, 0, 0, 0, 0, 1), (25, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (60, 0.05, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 1),
 )
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple:
     """A decision tree as nested tuples: (share of main,) or (feature, cut, at most, above)."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):

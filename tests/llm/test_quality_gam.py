@@ -42,7 +42,7 @@ def test_features_against_counts():
     x = dict(zip(G.FEATURES, G.features(pa.array([t, "", "a a a"]))[0]))
     assert np.isclose(x["words"], np.log1p(9)) and np.isclose(x["distinct"], 8 / 9) and np.isclose(x["repeated"], 1 / 9)
     assert np.isclose(x["bars"], 1 / 9) and np.isclose(x["shouts"], 1 / 9) and np.isclose(x["symbols"], 1 / 9) and np.isclose(x["lines"], 1 / 9)
-    assert np.isclose(x["digits"], 3 / len(t.encode())) and np.isclose(x["upper"], 2 / 10)
+    assert np.isclose(x["digits"], 3 / len(t.encode())) and np.isclose(x["upper"], 2 / 13)
     y = dict(zip(G.FEATURES, G.features(pa.array([t, "", "a a a"]))[2]))
     assert np.isclose(y["repeated"], 2 / 3) and np.isclose(y["top_word"], 1) and np.isclose(y["repeated_pairs"], 0.5)
 
