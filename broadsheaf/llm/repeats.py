@@ -36,13 +36,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, materialise, mix64, ranges, row_key, slices, spans, texts, tune
+from .common import materialise, mix64, ranges, row_key, slices, spans, texts, tune
 
 LENGTH, GRAM = 400, 100
 #: Windows that are anchored at a time.
 STEP = 1 << 20
 #: Classes of one hash that one task takes, and bytes that are transformed at a time.
-GROUP_CLASSES, TASK_BYTES = 1500, 1 << 20
+GROUP_CLASSES, TASK_BYTES = 4096, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 POSITION = np.uint64((1 << 24) - 1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -270,7 +270,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
 def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, keep: bool) -> DataFrame:
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=SLICE_BYTES // 2):
+            for part in slices(batch):
                 col = part.column("text").cast(pa.large_string())
                 size = np.asarray(pc.binary_length(col), dtype=np.int64)
                 data = np.frombuffer("".join(col.to_pylist()).encode(), dtype=np.uint8)
@@ -285,19 +285,22 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     keyed = own.select("doc_id", "text", *row_key())
     shape = "doc_id long, h1 long, h2 long, sha string, n_bytes long, found array<struct<h:long,r:long,first:long,starts:long>>"
     signed = materialise(keyed.withColumn("sha", F.sha2("text", 256)).mapInArrow(anchor, shape), "anchored")
-    node = ["h1", "h2"]
-    nodes = signed.groupBy(*node).agg(F.count("*").alias("rows"), F.first("found").alias("found"))
-    occ = materialise(nodes.select(*node, "rows", F.explode("found").alias("f")).select(*node, "rows", "f.*"), "regions")
-    often = occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    occ = materialise(occ.join(often, "h"), "shared")
-    classes = materialise(occ.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct(*node, "first", "starts")).alias("rep")), "classes")
+    key = ["h1", "h2"]
+    # distinct texts with a number of their own; written, so the numbers stay
+    nodes = signed.groupBy(*key).agg(F.count("*").alias("rows"), F.first("found").alias("found")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "nodes")
+    spots = nodes.select("node", F.explode("found").alias("f")).select("node", "f.h", "f.r", F.col("f.first").cast("int").alias("first"), F.col("f.starts").cast("int").alias("starts"))
+    often = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # what a corpus gives has no size bound: joins with it are sort-merge joins at every size
+    occ = materialise(spots.join(often.hint("merge"), "h"), "shared")
+    classes = materialise(occ.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("node", "first", "starts")).alias("rep")), "classes")
     per = classes.groupBy("h").agg(F.count("*").alias("k"), F.ceil(F.count("*") / GROUP_CLASSES).cast("int").alias("n_sub"))
     per = per.where("k > 1")
     several = classes.join(per, "h").select("h", "r", "c", "n_sub", F.pmod(F.xxhash64("r"), F.col("n_sub")).cast("int").alias("sub"), "rep.*")
-    wanted = several.groupBy(*node).agg(F.collect_list(F.struct("h", "r", "c", "n_sub", "sub", "first", "starts")).alias("want"))  # regions of one text
+    wanted = several.groupBy("node").agg(F.collect_list(F.struct("h", "r", "c", "n_sub", "sub", "first", "starts")).alias("want"))  # regions of one text
     # texts with a region that occurs elsewhere are read once more, each once
-    held = materialise(occ.select(*node).distinct(), "held")
-    some = materialise(keyed.join(held, node).groupBy(*node).agg(F.min("text").alias("text")), "texts")
+    held = nodes.select("node", *key).join(occ.select("node").distinct(), "node", "left_semi")
+    some = materialise(keyed.join(held.hint("merge"), key).groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,7 +310,7 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
                 out += [(w["h"], w["r"], w["c"], w["n_sub"], w["sub"], raw[w["first"] : w["first"] + w["starts"] + length - 1]) for w in want]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["h", "r", "c", "n_sub", "sub", "data"])
 
-    pieces = some.join(wanted, node).select("text", "want").mapInArrow(cut, "h long, r long, c long, n_sub int, sub int, data binary")
+    pieces = some.join(wanted.hint("merge"), "node").select("text", "want").mapInArrow(cut, "h long, r long, c long, n_sub int, sub int, data binary")
     marks = materialise(_compare(pieces, length), "marks")
     runs = marks.where("kind = 0").select("h", "r", "first", "last")
     lone = marks.where("kind = 1")
@@ -315,12 +318,12 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     across = lone.where("times = 1").join(again, ["s1", "s2"]).select("h", "r", "first", "last")
     alone = classes.where("c > 1").join(per.select("h"), "h", "left_anti").select("h", "r", F.lit(0).cast("long").alias("first"), (F.col("rep.starts") - 1).alias("last"))
     found = runs.unionByName(across).unionByName(alone).withColumnRenamed("first", "a").withColumnRenamed("last", "b")
-    covered = occ.where("rows = 1").join(found, ["h", "r"]).groupBy(*node).agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))).alias("cover"))
+    covered = occ.join(found.hint("merge"), ["h", "r"]).groupBy("node").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))).alias("cover"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for h1, h2, text, cover in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "text", "cover"))):
+            for node, text, cover in zip(*(b.column(c).to_pylist() for c in ("node", "text", "cover"))):
                 raw = text.encode()
                 merged: list[list[int]] = []
                 for x, y in sorted((c["a"], c["b"]) for c in cover):
@@ -333,26 +336,26 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
                     left.append(raw[at:x])
                     at = y
                 rest = b"".join([*left, raw[at:]])
-                out.append((h1, h2, len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), *([rest, merged] if keep else [])))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary(), pa.list_(pa.list_(pa.int64()))] if keep else [])]
-            names = ["h1", "h2", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if keep else [])]
+                out.append((node, len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), *([rest, merged] if keep else [])))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary(), pa.list_(pa.list_(pa.int64()))] if keep else [])]
+            names = ["node", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if keep else [])]
             cols = zip(*out) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=names)
 
     extra = ", kept binary, spans array<array<long>>" if keep else ""
-    cleaned = some.join(covered, node).mapInArrow(strip, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    cleaned = some.join(covered.hint("merge"), "node").mapInArrow(strip, "node long, n_removed long, n_spans long, kept_sha256 string" + extra)
     empty = hashlib.sha256(b"").hexdigest()
     all_of_it = (F.col("rows") > 1) & (F.col("n_bytes") >= length)
-    counted = nodes.select(*node, "rows")
-    out = signed.select("doc_id", *node, "sha", "n_bytes").join(counted, node).join(cleaned, node, "left")
+    counted = nodes.select("node", *key, "rows").join(cleaned, "node", "left")
+    out = signed.select("doc_id", *key, "sha", "n_bytes").join(counted, key)
     result = out.select(
         "doc_id", "n_bytes",
         F.when(all_of_it, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(all_of_it, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(all_of_it, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *([*node, F.when(all_of_it, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.when(all_of_it, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.col("spans")).alias("spans")] if keep else []),
+        *([*key, F.when(all_of_it, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.when(all_of_it, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.col("spans")).alias("spans")] if keep else []),
     )
     if not keep:
         return result
-    whole = result.join(keyed.groupBy(*node).agg(F.min("text").alias("text")), node)
-    return whole.withColumn("kept", F.coalesce("kept", F.encode("text", "UTF-8"))).drop("text", *node)
+    whole = result.join(keyed.groupBy(*key).agg(F.min("text").alias("text")), key)
+    return whole.withColumn("kept", F.coalesce("kept", F.encode("text", "UTF-8"))).drop("text", *key)
