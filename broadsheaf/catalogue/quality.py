@@ -22,7 +22,7 @@ def sql(body: str) -> str:
 
 
 def p50(c: str, p: float = 0.5):
-    return F.round(F.percentile(c, F.lit(p)), 3)
+    return F.round(F.percentile(c, F.lit(p)), 9)
 
 
 @register("q_quality_coverage", sql(""" SELECT count(*) AS pages, count(*) FILTER (decision = 'no_text') AS no_text, count(*) FILTER (decision = 'und') AS und, count(*) FILTER (decision = 'mixed') AS mixed, count(damage_rate) AS scored,
@@ -37,21 +37,21 @@ def _coverage(spark, sf_dir):
 
 
 @register("q_quality_cube", sql(""" SELECT lang, decision, lccn, decade, count(*) AS pages, count(*) FILTER (words < 400) AS few_words, count(*) FILTER (decision = 'und' AND words >= 1000) AS und_long, count(damage_rate) AS scored, count(*) FILTER (damage_rate IS NOT NULL AND den < 50) AS weak,
-  count(*) FILTER (damage_rate <= 0.1) AS fine, count(*) FILTER (damage_rate > 0.1 AND damage_rate <= 0.25) AS moderate, count(*) FILTER (damage_rate > 0.25) AS bad, count(*) FILTER (damage_rate > 0.25 AND den < 50) AS bad_weak, round(sum(damage_rate), 3) AS sum_damage, count(*) FILTER (damage_rate > 0.25 AND ocr_runs > 0) AS bad_done,
-  count(*) FILTER (damage_rate > 0.25 AND den >= 50 AND ocr_runs = 0) AS strong_todo, count(*) FILTER (damage_rate > 0.25 AND den >= 50 AND ocr_runs = 0 AND dice >= 0.6) AS strong_todo_dice, round(sum(dice), 3) AS sum_dice, round(sum(local_cer) FILTER (matched >= 0.5), 3) AS sum_local_placed, round(sum(wc_mean), 3) AS sum_wc
+  count(*) FILTER (damage_rate <= 0.1) AS fine, count(*) FILTER (damage_rate > 0.1 AND damage_rate <= 0.25) AS moderate, count(*) FILTER (damage_rate > 0.25) AS bad, count(*) FILTER (damage_rate > 0.25 AND den < 50) AS bad_weak, round(sum(damage_rate), 9) AS sum_damage, count(*) FILTER (damage_rate > 0.25 AND ocr_runs > 0) AS bad_done,
+  count(*) FILTER (damage_rate > 0.25 AND den >= 50 AND ocr_runs = 0) AS strong_todo, count(*) FILTER (damage_rate > 0.25 AND den >= 50 AND ocr_runs = 0 AND dice >= 0.6) AS strong_todo_dice, round(sum(dice), 9) AS sum_dice, round(sum(local_cer) FILTER (matched >= 0.5), 9) AS sum_local_placed, round(sum(wc_mean), 9) AS sum_wc
   FROM s GROUP BY 1, 2, 3, 4"""))
 def _cube(spark, sf_dir):
     den, n = F.col("den"), F.count_if
     strong = (D() > 0.25) & (den >= 50) & (F.col("ocr_runs") == 0)
     return signals(spark, sf_dir).groupBy("lang", "decision", "lccn", "decade").agg(
         F.count("*").alias("pages"), n(F.col("words") < 400).alias("few_words"), n((F.col("decision") == "und") & (F.col("words") >= 1000)).alias("und_long"), F.count("damage_rate").alias("scored"), n(D().isNotNull() & (den < 50)).alias("weak"), n(D() <= 0.1).alias("fine"),
-        n((D() > 0.1) & (D() <= 0.25)).alias("moderate"), n(D() > 0.25).alias("bad"), n((D() > 0.25) & (den < 50)).alias("bad_weak"), F.round(F.sum("damage_rate"), 3).alias("sum_damage"), n((D() > 0.25) & (F.col("ocr_runs") > 0)).alias("bad_done"), n(strong).alias("strong_todo"),
-        n(strong & (F.col("dice") >= 0.6)).alias("strong_todo_dice"), F.round(F.sum("dice"), 3).alias("sum_dice"), F.round(F.sum(F.when(F.col("matched") >= 0.5, F.col("local_cer"))), 3).alias("sum_local_placed"), F.round(F.sum("wc_mean"), 3).alias("sum_wc"),
+        n((D() > 0.1) & (D() <= 0.25)).alias("moderate"), n(D() > 0.25).alias("bad"), n((D() > 0.25) & (den < 50)).alias("bad_weak"), F.round(F.sum("damage_rate"), 9).alias("sum_damage"), n((D() > 0.25) & (F.col("ocr_runs") > 0)).alias("bad_done"), n(strong).alias("strong_todo"),
+        n(strong & (F.col("dice") >= 0.6)).alias("strong_todo_dice"), F.round(F.sum("dice"), 9).alias("sum_dice"), F.round(F.sum(F.when(F.col("matched") >= 0.5, F.col("local_cer"))), 9).alias("sum_local_placed"), F.round(F.sum("wc_mean"), 9).alias("sum_wc"),
     )
 
 
-@register("q_quality_quantiles", sql(""" SELECT lang, count(*) AS scored, round(quantile_cont(damage_rate, 0.1), 3) AS p10, round(quantile_cont(damage_rate, 0.5), 3) AS p50, round(quantile_cont(damage_rate, 0.9), 3) AS p90, round(quantile_cont(dice, 0.5), 3) AS dice_p50,
-  round(quantile_cont(local_cer, 0.5) FILTER (matched >= 0.5), 3) AS local_p50 FROM s WHERE damage_rate IS NOT NULL GROUP BY 1"""))
+@register("q_quality_quantiles", sql(""" SELECT lang, count(*) AS scored, round(quantile_cont(damage_rate, 0.1), 9) AS p10, round(quantile_cont(damage_rate, 0.5), 9) AS p50, round(quantile_cont(damage_rate, 0.9), 9) AS p90, round(quantile_cont(dice, 0.5), 9) AS dice_p50,
+  round(quantile_cont(local_cer, 0.5) FILTER (matched >= 0.5), 9) AS local_p50 FROM s WHERE damage_rate IS NOT NULL GROUP BY 1"""))
 def _quantiles(spark, sf_dir):
     s = signals(spark, sf_dir).where("damage_rate is not null").withColumn("near", F.when(F.col("matched") >= 0.5, F.col("local_cer")))
     return s.groupBy("lang").agg(F.count("*").alias("scored"), *(p50("damage_rate", p).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)), p50("dice").alias("dice_p50"), p50("near").alias("local_p50"))
@@ -59,9 +59,9 @@ def _quantiles(spark, sf_dir):
 
 for _name, _keys in {"language_decade": ("lang", "decade"), "title": ("lccn",)}.items():
 
-    @register(f"q_median_{_name}", sql(f" SELECT {', '.join(_keys)}, count(*) AS scored, round(median(damage_rate), 3) AS p50 FROM s WHERE damage_rate IS NOT NULL GROUP BY ALL"))
+    @register(f"q_median_{_name}", sql(f" SELECT {', '.join(_keys)}, count(*) AS scored, round(median(damage_rate), 9) AS p50 FROM s WHERE damage_rate IS NOT NULL GROUP BY ALL"))
     def _median(spark, sf_dir, keys=_keys):
-        return signals(spark, sf_dir).where("damage_rate is not null").groupBy(*keys).agg(F.count("*").alias("scored"), F.round(F.median("damage_rate"), 3).alias("p50"))
+        return signals(spark, sf_dir).where("damage_rate is not null").groupBy(*keys).agg(F.count("*").alias("scored"), F.round(F.median("damage_rate"), 9).alias("p50"))
 
 
 @register("q_batches", sql(" SELECT batch, count(*) AS pages, count(damage_rate) AS scored, count(*) FILTER (damage_rate > 0.25) AS bad, round(avg(damage_rate), 9) AS mean_damage, count(DISTINCT lccn) AS titles, min(decade) AS first_decade, max(decade) AS last_decade FROM s GROUP BY 1"))
@@ -70,9 +70,9 @@ def _batches(spark, sf_dir):
 
 
 @register("q_crosstab", sql(f""" SELECT lang, {BAND} AS band, CASE WHEN dice IS NULL THEN '0 no pair' WHEN NOT coalesce(matched >= 0.5 AND local_cer IS NOT NULL, FALSE) THEN '1 under half placed' WHEN local_cer <= 0.1 THEN '2 up to 0.1' WHEN local_cer <= 0.2 THEN '3 up to 0.2' ELSE '4 above 0.2' END AS agreement,
-  count(*) AS pages, round(sum(dice), 3) AS sum_dice FROM s WHERE damage_rate IS NOT NULL GROUP BY ALL"""))
+  count(*) AS pages, round(sum(dice), 9) AS sum_dice FROM s WHERE damage_rate IS NOT NULL GROUP BY ALL"""))
 def _crosstab(spark, sf_dir):
-    return signals(spark, sf_dir).where("damage_rate is not null").groupBy("lang", Q.band(D()).alias("band"), Q.agreement_class().alias("agreement")).agg(F.count("*").alias("pages"), F.round(F.sum("dice"), 3).alias("sum_dice"))
+    return signals(spark, sf_dir).where("damage_rate is not null").groupBy("lang", Q.band(D()).alias("band"), Q.agreement_class().alias("agreement")).agg(F.count("*").alias("pages"), F.round(F.sum("dice"), 9).alias("sum_dice"))
 
 
 @register("q_spearman", sql(""", h AS (SELECT damage_rate, est_cer FROM s WHERE damage_rate IS NOT NULL AND est_cer IS NOT NULL),
@@ -82,17 +82,17 @@ def _spearman(spark, sf_dir):
     return Q.spearman(h, "damage_rate", "est_cer").withColumn("rho", F.round("rho", 6))
 
 
-@register("q_banded_medians", sql(f""", h AS (SELECT * FROM s WHERE damage_rate IS NOT NULL AND est_cer IS NOT NULL) SELECT 'all' AS grp, count(*) AS pages, round(median(est_cer), 3) AS est_p50 FROM h UNION ALL SELECT {BAND}, count(*), round(median(est_cer), 3) FROM h GROUP BY 1"""))
+@register("q_banded_medians", sql(f""", h AS (SELECT * FROM s WHERE damage_rate IS NOT NULL AND est_cer IS NOT NULL) SELECT 'all' AS grp, count(*) AS pages, round(median(est_cer), 9) AS est_p50 FROM h UNION ALL SELECT {BAND}, count(*), round(median(est_cer), 9) FROM h GROUP BY 1"""))
 def _banded(spark, sf_dir):
     h = signals(spark, sf_dir).where("damage_rate is not null and est_cer is not null")
-    measures = (F.count("*").alias("pages"), F.round(F.median("est_cer"), 3).alias("est_p50"))
+    measures = (F.count("*").alias("pages"), F.round(F.median("est_cer"), 9).alias("est_p50"))
     return h.groupBy(F.lit("all").alias("grp")).agg(*measures).unionByName(h.groupBy(Q.band(D()).alias("grp")).agg(*measures))
 
 
-@register("q_word_confidence", sql(" SELECT coalesce(CASE WHEN lang <> 'fre' THEN lang END, 'not stated') AS software, count(*) AS pages, round(avg(wc_mean), 3) AS mean_wc, count(*) FILTER (wc_mean IS NULL) AS no_wc FROM s GROUP BY 1"))
+@register("q_word_confidence", sql(" SELECT coalesce(CASE WHEN lang <> 'fre' THEN lang END, 'not stated') AS software, count(*) AS pages, round(avg(wc_mean), 9) AS mean_wc, count(*) FILTER (wc_mean IS NULL) AS no_wc FROM s GROUP BY 1"))
 def _confidence(spark, sf_dir):
     software = F.coalesce(F.when(F.col("lang") != "fre", F.col("lang")), F.lit("not stated"))
-    return signals(spark, sf_dir).groupBy(software.alias("software")).agg(F.count("*").alias("pages"), F.round(F.avg("wc_mean"), 3).alias("mean_wc"), F.count_if(F.col("wc_mean").isNull()).alias("no_wc"))
+    return signals(spark, sf_dir).groupBy(software.alias("software")).agg(F.count("*").alias("pages"), F.round(F.avg("wc_mean"), 9).alias("mean_wc"), F.count_if(F.col("wc_mean").isNull()).alias("no_wc"))
 
 
 CUTS = (0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
@@ -100,7 +100,7 @@ CUTS = (0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
 
 @register("q_reocr_outcomes", sql(f""", o AS (SELECT * FROM (SELECT doc_id // 10000000 AS page, doc_id, lang, damage_rate, regexp_extract('engine x profile=p' || (seq % 3) || ' image=y', 'profile=([^ ]+)', 1) AS profile, est_cer AS ours,
     row_number() OVER (PARTITION BY doc_id // 10000000, seq % 3 ORDER BY words DESC, doc_id) AS n FROM s WHERE est_cer IS NOT NULL AND damage_rate IS NOT NULL) WHERE n = 1)
-  SELECT profile, lang, ({' + '.join(f'(damage_rate >= {c})::INT' for c in CUTS)})::INT AS bin, count(*) AS pages, round(median(damage_rate), 3) AS loc_p50, round(median(ours), 3) AS ours_p50, round(avg((ours < damage_rate)::INT), 3) AS lower_share, round(avg(ours - damage_rate), 3) AS mean_change FROM o GROUP BY ALL"""))
+  SELECT profile, lang, ({' + '.join(f'(damage_rate >= {c})::INT' for c in CUTS)})::INT AS bin, count(*) AS pages, round(median(damage_rate), 9) AS loc_p50, round(median(ours), 9) AS ours_p50, round(avg((ours < damage_rate)::INT), 9) AS lower_share, round(avg(ours - damage_rate), 9) AS mean_change FROM o GROUP BY ALL"""))
 def _outcomes(spark, sf_dir):
     s = signals(spark, sf_dir).where("est_cer is not null and damage_rate is not null")
     engine = F.concat(F.lit("engine x profile=p"), F.pmod("seq", F.lit(3)).cast("string"), F.lit(" image=y"))
@@ -108,14 +108,14 @@ def _outcomes(spark, sf_dir):
     o = Q.latest_per(s, ["page", "profile"], F.desc("words"), F.asc("doc_id"))
     bin_ = sum(((D() >= c).cast("int") for c in CUTS), F.lit(0))
     return o.groupBy("profile", "lang", bin_.alias("bin")).agg(
-        F.count("*").alias("pages"), F.round(F.median("damage_rate"), 3).alias("loc_p50"), F.round(F.median("ours"), 3).alias("ours_p50"), F.round(F.avg((F.col("ours") < D()).cast("int")), 3).alias("lower_share"), F.round(F.avg(F.col("ours") - D()), 3).alias("mean_change"))
+        F.count("*").alias("pages"), F.round(F.median("damage_rate"), 9).alias("loc_p50"), F.round(F.median("ours"), 9).alias("ours_p50"), F.round(F.avg((F.col("ours") < D()).cast("int")), 9).alias("lower_share"), F.round(F.avg(F.col("ours") - D()), 9).alias("mean_change"))
 
 
-@register("q_paired_decades", sql(""" SELECT decade, count(*) AS pages, round(median(damage_rate), 3) AS loc_p50, round(median(est_cer), 3) AS ours_p50, count(*) FILTER (damage_rate > 0.25) AS bad_pages, round(median(est_cer) FILTER (damage_rate > 0.25), 3) AS ours_p50_bad
+@register("q_paired_decades", sql(""" SELECT decade, count(*) AS pages, round(median(damage_rate), 9) AS loc_p50, round(median(est_cer), 9) AS ours_p50, count(*) FILTER (damage_rate > 0.25) AS bad_pages, round(median(est_cer) FILTER (damage_rate > 0.25), 9) AS ours_p50_bad
   FROM s WHERE lang = 'ger' AND damage_rate IS NOT NULL AND est_cer IS NOT NULL GROUP BY 1"""))
 def _decades(spark, sf_dir):
     s = signals(spark, sf_dir).where("lang = 'ger' and damage_rate is not null and est_cer is not null")
-    return s.groupBy("decade").agg(F.count("*").alias("pages"), F.round(F.median("damage_rate"), 3).alias("loc_p50"), F.round(F.median("est_cer"), 3).alias("ours_p50"), F.count_if(D() > 0.25).alias("bad_pages"), F.round(F.median(F.when(D() > 0.25, F.col("est_cer"))), 3).alias("ours_p50_bad"))
+    return s.groupBy("decade").agg(F.count("*").alias("pages"), F.round(F.median("damage_rate"), 9).alias("loc_p50"), F.round(F.median("est_cer"), 9).alias("ours_p50"), F.count_if(D() > 0.25).alias("bad_pages"), F.round(F.median(F.when(D() > 0.25, F.col("est_cer"))), 9).alias("ours_p50_bad"))
 
 
 STEPS = ("any", "detected only", "before 1999", "not yet read", "enough occurrences", "enough words")
@@ -186,9 +186,9 @@ def _images(spark, sf_dir):
     return s.orderBy("stratum_rank", F.desc_nulls_last("damage_rate"), "doc_id").limit(500).select("doc_id", "lccn", "stratum_rank")
 
 
-@register("q_titles_by_benefit", sql(" SELECT lccn, count(*) AS pages, round(avg(damage_rate), 9) AS mean_damage, round(avg((damage_rate > 0.25)::INT), 3) AS bad_share, sum((ocr_runs > 0)::INT)::BIGINT AS read, sum(has_image_features::INT)::BIGINT AS imaged FROM s GROUP BY 1"))
+@register("q_titles_by_benefit", sql(" SELECT lccn, count(*) AS pages, round(avg(damage_rate), 9) AS mean_damage, round(avg((damage_rate > 0.25)::INT), 9) AS bad_share, sum((ocr_runs > 0)::INT)::BIGINT AS read, sum(has_image_features::INT)::BIGINT AS imaged FROM s GROUP BY 1"))
 def _benefit(spark, sf_dir):
-    return signals(spark, sf_dir).groupBy("lccn").agg(F.count("*").alias("pages"), F.round(F.avg("damage_rate"), 9).alias("mean_damage"), F.round(F.avg((D() > 0.25).cast("int")), 3).alias("bad_share"), F.count_if(F.col("ocr_runs") > 0).alias("read"), F.count_if("has_image_features").alias("imaged"))
+    return signals(spark, sf_dir).groupBy("lccn").agg(F.count("*").alias("pages"), F.round(F.avg("damage_rate"), 9).alias("mean_damage"), F.round(F.avg((D() > 0.25).cast("int")), 9).alias("bad_share"), F.count_if(F.col("ocr_runs") > 0).alias("read"), F.count_if("has_image_features").alias("imaged"))
 
 
 @register("q_stratified_draw", sql(f""", r AS (SELECT *, ntile(10) OVER (ORDER BY damage_rate DESC, doc_id) AS tenth FROM s WHERE damage_rate IS NOT NULL AND lang = 'eng'), p AS (SELECT doc_id, decade, {BAND} AS band FROM r WHERE tenth <= 4),
