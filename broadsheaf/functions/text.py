@@ -34,7 +34,7 @@ def folded(text: Column) -> Column:
     out = F.translate(F.lower(text), HAVE, BARE)
     for a, b in TRANSLITERATED.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(F.lower(text))  # plain texts need no folding
 
 
 def words(text: Column) -> Column:
