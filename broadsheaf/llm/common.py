@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch carries at most; long texts make larger batches too large for a worker.
-BATCH_ROWS = 4000
+BATCH_ROWS = 2000
 #: Bytes of text that a vectorised step takes at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 

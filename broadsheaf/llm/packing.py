@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path)
         for batch in batches:
-            for part in slices(batch, limit=16 << 20):
+            for part in slices(batch, limit=8 << 20):
                 flat, at, _, _ = enc.encode(part.column("text"), spots=False)
                 lens = np.diff(at) + 1
                 out = np.empty(int(lens.sum()), dtype="<u4")
