@@ -84,6 +84,22 @@ def _hat(spark, sf_dir):
     return d.select("doc_id", *(F.round(c, 9).alias(k) for k, c in X.hat3(F.col("ab"), F.col("ac"), F.col("bc")).items()))
 
 
+# the two queries above compare the first 400 characters, as their SQL does; these compare whole texts, which the SQL engine is too slow for
+@register("q_pair_metrics_whole")
+def _pairs_whole(spark, sf_dir):
+    p = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"))
+    p = p.withColumn("e", X.whole_levenshtein(F.col("a"), F.col("b")))
+    return p.select("doc_id", *(F.round(c, 9).alias(n) for n, c in X.pair_metrics(F.col("a"), F.col("b"), F.col("e")).items()))
+
+
+@register("q_hat3_whole")
+def _hat_whole(spark, sf_dir):
+    p = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
+    n = F.greatest(F.length("a"), F.lit(1))
+    d = p.select("doc_id", *((X.whole_levenshtein(F.col(x), F.col(y)) / n).alias(x + y) for x, y in ("ab", "ac", "bc")))
+    return d.select("doc_id", *(F.round(c, 9).alias(k) for k, c in X.hat3(F.col("ab"), F.col("ac"), F.col("bc")).items()))
+
+
 @register("q_dice", f"WITH {PAGES}, t AS (SELECT doc_id, tokens[1:60] AS a, tokens[11:70] AS b FROM pg), w AS (SELECT doc_id, a, b, unnest(list_distinct(a)) AS w FROM t), c AS (SELECT doc_id, sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) AS c FROM w GROUP BY 1) SELECT t.doc_id, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * coalesce(c, 0) / (len(a) + len(b)) ELSE 1 END, 9) AS dice FROM t LEFT JOIN c USING (doc_id)")
 def _dice(spark, sf_dir):
     t = text_pages(spark, sf_dir).select("doc_id", F.filter(F.split("words", " "), lambda x: x != "").alias("t"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,33 @@ def edits(a, b) -> int:
     return edit_rows(a, b)[-1]
 
 
+def whole_edits(a: str, b: str) -> int:
+    """``edits`` of texts of any length: a column of the table at a time as bits of one number (Myers)."""
+    head = len(os.path.commonprefix([a, b]))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    masks: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        if c not in masks:
+            masks[c] = bytearray(-(-len(a) // 8))
+        masks[c][i >> 3] |= 1 << (i & 7)
+    eq = {c: int.from_bytes(m, "little") for c, m in masks.items()}
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        e = eq.get(c, 0)
+        x = (((e & up) + up) ^ up) | e | down
+        more, less = down | (full & ~(x | up)), up & x
+        score += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        e |= down
+        up, down = less | (full & ~(e | more)), more & e
+    return score
+
+
 def infix(p, t) -> int:
     """The fewest edits that turn ``p`` into some run of ``t``."""
     codes: dict = {}
@@ -72,9 +101,18 @@ def error_rate(e: Column, size: Column) -> Column:
     return F.when(size > 0, e / size).when(e > 0, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def pair_metrics(a: Column, b: Column) -> dict[str, Column]:
-    """Character error rates both ways and over the mean length."""
-    e, la, lb = F.levenshtein(a, b), F.length(a), F.length(b)
+def whole_levenshtein(a: Column, b: Column) -> Column:
+    """Edits between whole texts; null where one is null."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else whole_edits(p, q) for p, q in zip(x, y)], dtype="Int64")
+
+    return F.pandas_udf(run, "long")(a, b)
+
+
+def pair_metrics(a: Column, b: Column, edits: Column | None = None) -> dict[str, Column]:
+    """Character error rates both ways and over the mean length; ``edits`` if they are known."""
+    e, la, lb = F.levenshtein(a, b) if edits is None else edits, F.length(a), F.length(b)
     return {"cer_a": error_rate(e, lb), "cer_b": error_rate(e, la), "cer_sym": error_rate(e, (la + lb) / 2)}
 
 
