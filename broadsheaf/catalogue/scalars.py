@@ -30,6 +30,12 @@ def _status(spark, sf_dir):
     return d.groupBy("status").agg(F.count("*").alias("pages"))
 
 
+@register("q_text_status_whole", r"WITH t AS (SELECT regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT CASE WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'short' ELSE 'ok' END AS status, count(*) AS pages FROM t GROUP BY 1")
+def _status_whole(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(T.text_status(F.col("text")).alias("status"))
+    return d.groupBy("status").agg(F.count("*").alias("pages"))
+
+
 @register("q_rejoined", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, 'tion', 'ti-' || chr(10) || 'on'), '(\p{L})-[ \t]*\n\s*(\p{L})', '\1\2', 'g'), '[^\S\n]+', ' ', 'g'), ' ?\n\s*', chr(10), 'g')) AS text FROM documents")
 def _rejoined(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.rejoined(F.replace("text", F.lit("tion"), F.lit("ti-\non"))).alias("text"))
@@ -107,6 +113,20 @@ def _dice(spark, sf_dir):
     return p.select("doc_id", F.round(X.dice(F.col("a"), F.col("b")), 9).alias("dice"))
 
 
+SECOND = "list_transform(tokens, lambda x: replace(x, 'm', 'rn'))"
+
+
+def _both_readings(spark, sf_dir):
+    """All words of each page, and the same by a second reading."""
+    t = text_pages(spark, sf_dir).select("doc_id", F.filter(F.split("words", " "), lambda x: x != "").alias("a"))
+    return t.withColumn("b", F.transform("a", lambda x: F.replace(x, F.lit("m"), F.lit("rn"))))
+
+
+@register("q_dice_whole", f"WITH {PAGES}, t AS (SELECT doc_id, list_transform(tokens, lambda x: CASE WHEN length(x) > 40 THEN '_' ELSE x END) AS tokens FROM pg), u AS (SELECT doc_id, tokens AS a, {SECOND} AS b FROM t), w AS (SELECT doc_id, unnest(a) AS w, 1 AS x, 0 AS y FROM u UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM u), c AS (SELECT doc_id, sum(c) AS c FROM (SELECT doc_id, least(sum(x), sum(y)) AS c FROM w GROUP BY doc_id, w) GROUP BY 1) SELECT u.doc_id, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * coalesce(c, 0) / (len(a) + len(b)) ELSE 1 END, 9) AS dice FROM u LEFT JOIN c USING (doc_id)")
+def _dice_whole(spark, sf_dir):
+    return _both_readings(spark, sf_dir).select("doc_id", F.round(X.whole_dice(F.col("a"), F.col("b")), 9).alias("dice"))
+
+
 FW = ", ".join(f"('{c}', '{w}')" for c, ws in G.FUNCTION_WORDS.items() for w in dict.fromkeys(ws))
 
 
@@ -155,3 +175,10 @@ def _ngrams(spark, sf_dir):
     two = lambda c: F.array_distinct(F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))
     g = t.select("doc_id", two("a").alias("x"), two("b").alias("y"))
     return g.select("doc_id", F.size(F.array_intersect("x", "y")).alias("kept"), F.size(F.array_except("x", "y")).alias("lost"))
+
+
+@register("q_kept_lost_ngrams_whole", f"WITH {PAGES}, t AS (SELECT doc_id, list_transform(tokens, lambda x: CASE WHEN length(x) > 40 THEN '_' ELSE x END) AS tokens FROM pg), u AS (SELECT doc_id, tokens AS a, {SECOND} AS b FROM t), g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS v FROM u), h AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]))) AS v FROM u), n AS (SELECT g.doc_id, count(h.v) AS kept, count(*) - count(h.v) AS lost FROM g LEFT JOIN h ON g.doc_id = h.doc_id AND g.v = h.v GROUP BY 1) SELECT doc_id, coalesce(kept, 0)::INT AS kept, coalesce(lost, 0)::INT AS lost FROM u LEFT JOIN n USING (doc_id)")
+def _ngrams_whole(spark, sf_dir):
+    two = lambda c: F.array_distinct(F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))
+    g = _both_readings(spark, sf_dir).select("doc_id", two("a").alias("x"), two("b").alias("y"))
+    return g.select("doc_id", F.size(F.array_intersect("x", "y")).alias("kept"), F.size(F.array_except("x", "y")).alias("lost"))

@@ -123,6 +123,15 @@ def dice(words_a: Column, words_b: Column) -> Column:
     return F.when(total > 0, 2 * common / total).otherwise(F.lit(1.0))
 
 
+def whole_dice(words_a: Column, words_b: Column) -> Column:
+    """``dice`` of bags of any size."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([2 * (Counter(p) & Counter(q)).total() / (len(p) + len(q)) if len(p) + len(q) else 1.0 for p, q in zip(x, y)], dtype="float64")
+
+    return F.when(words_a.isNotNull() & words_b.isNotNull(), F.pandas_udf(run, "double")(F.coalesce(words_a, F.array().cast("array<string>")), F.coalesce(words_b, F.array().cast("array<string>"))))
+
+
 def hat3(ab: Column, ac: Column, bc: Column) -> dict[str, Column]:
     """Errors of three readers from their pairwise differences, not below 0."""
     zero = F.lit(0.0)

@@ -42,3 +42,18 @@ def test_edits_late_in_a_text(spark, whole):
         assert [pairs[i][k] for k in ("cer_a", "cer_b", "cer_sym")] == pytest.approx([e / max(len(b), 1), e / n, 2 * e / max(len(a) + len(b), 1)], abs=1e-8)
         assert [hats[i][k] for k in "abc"] == pytest.approx([max(x / 2, 0) for x in (ab + ac - bc, ab + bc - ac, ac + bc - ab)], abs=1e-8)
     assert pairs[0]["cer_a"] > 0
+
+
+def test_words_and_pairs_late_in_a_text_and_in_short_ones(spark, whole):
+    d, texts = whole
+    dice = {r["doc_id"]: r["dice"] for r in queries()["q_dice_whole"](spark, d).collect()}
+    grams = {r["doc_id"]: (r["kept"], r["lost"]) for r in queries()["q_kept_lost_ngrams_whole"](spark, d).collect()}
+    # 1: alpha beta 90 times (2 pairs, words 180 of 184 the same in both readings); then mimic emblem ñandú me
+    assert grams[1] == (2, 4) and dice[1] == pytest.approx(181 / 184, abs=1e-8)
+    assert grams[2] == (0, 1) and dice[2] == 0.5
+    assert grams[3] == grams[4] == grams[5] == (0, 0) and dice[3] == 0 and dice[4] == dice[5] == 1
+
+
+def test_status_of_whole_texts(spark, whole):
+    got = {r["status"]: r["pages"] for r in queries()["q_text_status_whole"](spark, whole[0]).collect()}
+    assert got == {"ok": 2, "short": 3, "empty": 2}
