@@ -5,7 +5,7 @@
 2. Randomised SVD of the TF-IDF passages A, distributed: each task adds up A'(A W) over its passages for a fixed
    Gaussian W; the sum Z (vocabulary by rank) gives the leading right singular vectors (Nystroem step on A'A).
 3. Every passage and every benchmark item is projected, and pairs with a cosine of at least ``least_cosine`` are
-   candidates.
+   candidates. So are all pairs whose words alone allow a match (``Lexical``), so that no leak hangs on rank or weights.
 4. A candidate is a leak if the longest common subsequence of words of the item and of the text around the passage
    covers ``least_lcs`` of the item, and ``least_answer`` of the item's answer occurs there. The answer is the column
    ``answer`` if the benchmark has one, else the last quarter of the item's words.
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spans, texts, tune
+from .common import ranges, slices, spans, texts, tune
 from .words import words
 
 TRIM = ".,;:!?\"'()[]{}#$%&*"
@@ -39,6 +39,8 @@ WINDOW = 32
 #: Items searched at a time.
 ITEM_BLOCK = 2000
 RANK = 96
+#: Rare words of an item that must occur together before all its words are counted.
+ANCHORS = 4
 #: A term in no more passages than this keeps its weight, however few passages there are.
 STOP_PASSAGES = 50
 LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"
@@ -86,6 +88,68 @@ def bare(text: str) -> list[str]:
     return [w for w in (x.strip(TRIM) for x in text.lower().split()) if w]
 
 
+class Lexical:
+    """Candidates by words alone, which no match can escape.
+
+    A match needs ``need`` of an item's words in the text around a passage, so of its ``m - need + j`` rarest words at
+    least ``j`` occur there. Occurrences of these are counted in chunks as long as that text, which thus lies in two
+    neighbouring chunks; where the two hold ``j``, all of the item's words are looked up, and their passages compared.
+    """
+
+    def __init__(self, terms: list[list[int]], df: np.ndarray, least_lcs: float):
+        self.span = np.array([WINDOW + 2 * len(t) for t in terms], dtype=np.int64)
+        self.need = np.zeros(len(terms), dtype=np.int64)
+        self.least = np.zeros(len(terms), dtype=np.int64)
+        anchors: list[tuple[int, int, int]] = []
+        for i, t in enumerate(terms):
+            m = len(t)
+            need = next(k for k in range(m + 1) if not k < least_lcs * m)
+            self.need[i] = need
+            self.least[i] = j = max(1, min(need, ANCHORS))
+            rare = sorted(t, key=lambda x: (df[x], x))[: m - need + j]
+            anchors += [(x, i, c) for x, c in Counter(rare).items()]
+        anchors.sort()
+        self.item = np.array([a[1] for a in anchors], dtype=np.int64)
+        self.times = np.array([a[2] for a in anchors], dtype=np.int64)
+        self.start = np.searchsorted(np.array([a[0] for a in anchors], dtype=np.int64), np.arange(len(df) + 1))
+        # every word of an item and how often, to count all of them
+        self.words = [(np.array(list(c), dtype=np.int64), np.array(list(c.values()), dtype=np.int64)) for c in map(Counter, terms)]
+
+    def pairs(self, cut: Cut) -> Iterator[tuple[int, int]]:
+        """Passage and item."""
+        at = np.flatnonzero(cut.term >= 0)
+        term = cut.term[at]
+        n = self.start[term + 1] - self.start[term]
+        place = ranges(self.start[term], n)
+        item, at, term, times = self.item[place], np.repeat(at, n), np.repeat(term, n), self.times[place]
+        if not len(item):
+            return
+        most = len(cut.term) // WINDOW + 3
+        key = item * most + at // self.span[item] + 1
+        # each word once a chunk
+        once = np.unique(key * (len(self.start) + 1) + term, return_index=True)[1]
+        chunk, where = np.unique(key[once], return_inverse=True)
+        held = np.bincount(where, weights=times[once]).astype(np.int64)
+        both = np.unique(np.concatenate([chunk, chunk - 1]))
+        count = np.zeros(len(both), dtype=np.int64)
+        for shift in (0, 1):
+            spot = np.minimum(np.searchsorted(chunk, both + shift), len(chunk) - 1)
+            count += np.where(chunk[spot] == both + shift, held[spot], 0)
+        both = both[count >= self.least[both // most]]
+        doc = np.repeat(np.arange(len(cut.passages)), cut.passages)
+        begins = cut.bounds[doc] + (np.arange(len(doc)) - cut.base[doc]) * (WINDOW // 2)
+        for i, c in zip((both // most).tolist(), (both % most - 1).tolist()):
+            span = int(self.span[i])
+            here = np.sort(cut.term[max(0, c * span) : (c + 2) * span])
+            words_, often = self.words[i]
+            if not len(here) or often[here[np.minimum(np.searchsorted(here, words_), len(here) - 1)] == words_].sum() < self.need[i]:
+                continue
+            first = c * span + (span - WINDOW) // 2
+            a, b = np.searchsorted(begins, (first, first + span)).tolist()
+            for p in range(a, b):
+                yield p, i
+
+
 class Cut:
     """Passages of a slice of texts as occurrences of vocabulary terms."""
 
@@ -200,38 +264,45 @@ def _block(docs: DataFrame, items: Items, rank: int, stop: float, least_cosine:
     probe /= np.linalg.norm(probe, axis=1, keepdims=True) + 1e-12
     names, terms_of, ids = pa.array(items.vocab, pa.large_string()), items.terms, items.ids
 
+    lexical = Lexical(items.terms, df, least_lcs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
                 cut = Cut(part.column("text"), names)
-                passage, term, times = cut.counts(weight)
-                if not len(term):
+                if not (cut.term >= 0).any():
                     continue
-                value, head, _ = _unit(passage, term, times, weight)
-                place = np.add.reduceat(value[:, None] * axes[term], head)
-                place /= np.linalg.norm(place, axis=1, keepdims=True) + 1e-12
+                place, row = np.zeros((1, axes.shape[1]), np.float32), np.zeros(int(cut.base[-1]), np.int64)
+                passage, term, times = cut.counts(weight)
+                found = set(lexical.pairs(cut))
+                if len(term):
+                    value, head, _ = _unit(passage, term, times, weight)
+                    place = np.add.reduceat(value[:, None] * axes[term], head)
+                    place /= np.linalg.norm(place, axis=1, keepdims=True) + 1e-12
+                    for s in range(0, len(place), 4096):
+                        p, i = np.nonzero(place[s : s + 4096] @ probe.T >= least_cosine)
+                        found.update(zip(passage[head[s + p]].tolist(), i.tolist()))
+                    place = np.concatenate([np.zeros((1, axes.shape[1]), np.float32), place])
+                    row[passage[head]] = np.arange(1, len(head) + 1)
                 best: dict[tuple[int, int], tuple] = {}
-                for s in range(0, len(place), 4096):
-                    cosine = place[s : s + 4096] @ probe.T
-                    for p, i in zip(*np.nonzero(cosine >= least_cosine)):
-                        at = int(passage[head[s + p]])
-                        doc = int(np.searchsorted(cut.base, at, side="right")) - 1
-                        want = terms_of[i]
-                        begin = cut.bounds[doc] + (at - cut.base[doc]) * (WINDOW // 2)
-                        first = max(int(cut.bounds[doc]), int(begin) - len(want))
-                        last = min(int(cut.bounds[doc + 1]), int(begin) + WINDOW + len(want))
-                        around = cut.term[first:last].tolist()
-                        here = set(around)
-                        held = len(answers[i] & here) / len(answers[i])
-                        # words of the item that occur at all bound the subsequence
-                        if held < least_answer or sum(t in here for t in want) < least_lcs * len(want):
-                            continue
-                        share = lcs(want, around) / len(want)
-                        if share >= least_lcs:
-                            key = (doc, int(i))
-                            got = (share, float(cosine[p, i]), held, first - int(cut.bounds[doc]), last - int(cut.bounds[doc]))
-                            if key not in best or got > best[key]:
-                                best[key] = got
+                for at, i in sorted(found):
+                    doc = int(np.searchsorted(cut.base, at, side="right")) - 1
+                    want = terms_of[i]
+                    begin = cut.bounds[doc] + (at - cut.base[doc]) * (WINDOW // 2)
+                    first = max(int(cut.bounds[doc]), int(begin) - len(want))
+                    last = min(int(cut.bounds[doc + 1]), int(begin) + WINDOW + len(want))
+                    around = cut.term[first:last].tolist()
+                    here = set(around)
+                    held = len(answers[i] & here) / len(answers[i])
+                    # words of the item that occur at all bound the subsequence
+                    if held < least_answer or sum(t in here for t in want) < least_lcs * len(want):
+                        continue
+                    share = lcs(want, around) / len(want)
+                    if share >= least_lcs:
+                        key = (doc, i)
+                        got = (share, float(place[row[at]] @ probe[i]), held, first - int(cut.bounds[doc]), last - int(cut.bounds[doc]))
+                        if key not in best or got > best[key]:
+                            best[key] = got
                 if best:
                     out = sorted(best.items())
                     doc_ids = part.column("doc_id").take(pa.array([k[0] for k, _ in out]))

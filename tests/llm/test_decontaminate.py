@@ -61,3 +61,30 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.leaks(docs(spark, ["x"]).limit(0), bench).count() == 0
     assert D.leaks(docs(spark, ["x"]), bench.limit(0)).count() == 0
+
+
+def test_short_items_do_not_hang_on_the_rank(spark):
+    words = [x.strip(".,") for x in prose(1, 3000, 900).split()]
+    items = [" ".join(words[8 * k : 8 * k + 8]) for k in range(150)]
+    texts = [prose(500 + k, 40, 50) + " " + " ".join(words[1200 + 7 * k : 1207 + 7 * k]) + " " + t + " " + " ".join(words[2200 + 3 * k : 2220 + 3 * k]) for k, t in enumerate(items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for rank in (2, 96):
+        assert {(i, i) for i in range(150)} <= {(r["doc_id"], r["item_id"]) for r in D.leaks(docs(spark, texts), bench, rank=rank).collect()}
+
+
+def test_candidates_by_words_are_all_there(spark):
+    vocab = prose(3, 60, 30).split()
+    items = [" ".join(vocab[k : k + 1 + 3 * k]) for k in range(7)]
+    texts = [prose(20 + k, n, 30).replace(",", "") + " " + " ".join(vocab[k : k + 25]) for k, n in enumerate((1, 15, 16, 40, 90, 300))]
+    want = set()
+    for d, t in enumerate(texts):
+        w = D.bare(t)
+        for i, item in enumerate(map(D.bare, items)):
+            for begin in range(0, max(1, len(w) - 16), 16):
+                around = w[max(0, begin - len(item)) : begin + 32 + len(item)]
+                names = {x: k for k, x in enumerate(set(w + item))}
+                end = set(item[-max(1, round(0.25 * len(item))) :])
+                if len(end & set(around)) >= 0.5 * len(end) and D.lcs([names[x] for x in item], [names[x] for x in around]) >= 0.6 * len(item):
+                    want.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(docs(spark, texts), bench).collect()} == want and want
