@@ -10,8 +10,8 @@
    covers ``least_lcs`` of the item, and ``least_answer`` of the item's answer occurs there. The answer is the column
    ``answer`` if the benchmark has one, else the last quarter of the item's words.
 
-Words are lower-cased and stripped of punctuation. Terms in more than ``stop`` of all passages (and in more than STOP_PASSAGES) carry no weight in
-the retrieval (they do in the subsequence); the rarest words of each item always do. The benchmark is taken in blocks of
+Words are lower-cased and stripped of punctuation. Terms in more than ``stop`` of all passages carry no weight in the latent
+space (they do in the word bound and the subsequence); the rarest words of each item weigh at least the median there. The benchmark is taken in blocks of
 ``ITEM_BLOCK`` items, each with its own vocabulary, so what tasks receive is bounded by the block.
 
 Defined cases: null and empty texts and items match nothing; repeated rows give repeated results; items with equal
@@ -41,8 +41,6 @@ ITEM_BLOCK = 2000
 RANK = 96
 #: Rare words of an item that must occur together before all its words are counted.
 ANCHORS = 4
-#: A term in no more passages than this keeps its weight, however few passages there are.
-STOP_PASSAGES = 50
 LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"
 
 
@@ -251,10 +249,11 @@ def latent(docs: DataFrame, vocab: list[str], weight: np.ndarray, rank: int, see
 def _block(docs: DataFrame, items: Items, rank: int, stop: float, least_cosine: float, least_lcs: float, least_answer: float, answer_part: float, seed: int) -> DataFrame:
     df, n = frequencies(docs, items.vocab)
     idf = np.log((n + 1) / (df + 1.0))
-    weight = np.maximum(0.0, idf + np.log(min(1.0, max(stop, STOP_PASSAGES / max(n, 1)))))
-    for terms in items.terms:  # the rarest words of an item always count
+    weight = np.maximum(0.0, idf + np.log(stop))
+    floor = max(1.0, float(np.median(weight[weight > 0]))) if (weight > 0).any() else 1.0
+    for terms in items.terms:  # the rarest words of an item count like others, however frequent the item makes them
         for t in sorted(set(terms), key=lambda x: (-idf[x], x))[:5]:
-            weight[t] = max(weight[t], 0.5)
+            weight[t] = max(weight[t], floor)
     answers = [given or set(terms[-max(1, round(answer_part * len(terms))) :]) for terms, given in zip(items.terms, items.answers)]
     axes = latent(docs, items.vocab, weight, rank, seed)
     probe = np.zeros((len(items.terms), axes.shape[1]), dtype=np.float32)

@@ -88,3 +88,13 @@ def test_candidates_by_words_are_all_there(spark):
                     want.add((d, i))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in D.leaks(docs(spark, texts), bench).collect()} == want and want
+
+
+def test_an_item_in_a_third_of_the_rows(spark):
+    rare = [f"w{k}x" for k in range(7200)]
+    items = [prose(900, 15, 300)] + [" ".join(rare[20 * k : 20 * k + 20]) for k in range(360)]
+    rare = random.Random(1).sample(rare, len(rare))
+    texts = [prose(k, 150, 90) + " " + " ".join(rare[20 * k : 20 * k + 20] + (items[0].split() if k % 3 == 0 else []) + rare[20 * k + 20 : 20 * k + 40]) + " " + prose(k + 500, 150, 90) for k in range(360)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"] for r in D.leaks(docs(spark, texts), bench).where("item_id = 0").collect()}
+    assert got == set(range(0, 360, 3))
