@@ -45,6 +45,15 @@ def test_repeated_ids_are_decided_by_text(spark):
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in C.near_duplicates(spark, d, SF).collect()) == [("1", "a b c d e f g h"), ("1", "one two three four five six"), ("None", "")]
 
 
+def test_null_and_repeated_ids_lose_only_their_leaks(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()["text"]
+    rows = [(i, t, "en", "s", 3) for i in (None, 7) for t in (f"before {item} after", "a clean text of its own", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.decontamination(spark, d, SF)
+    assert got.columns == d.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect()) == [("7", ""), ("7", "a clean text of its own"), ("None", ""), ("None", "a clean text of its own")]
+
+
 def test_registered_queries(spark):
     names = __spark_entry__.queries()
     assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
