@@ -24,14 +24,8 @@ def _exact(spark, sf_dir):
     return text_pages(spark, sf_dir, False).select("doc_id", T.exact_words(F.col("text")).alias("words"))
 
 
-@register("q_text_status", r"WITH t AS (SELECT doc_id, regexp_replace(substring(text, 1, (doc_id % 40)::INT), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT CASE WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'short' ELSE 'ok' END AS status, count(*) AS pages FROM t GROUP BY 1")
+@register("q_text_status", r"WITH t AS (SELECT regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT CASE WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'short' ELSE 'ok' END AS status, count(*) AS pages FROM t GROUP BY 1")
 def _status(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(T.text_status(F.substring("text", F.lit(1), F.pmod("doc_id", F.lit(40)).cast("int"))).alias("status"))
-    return d.groupBy("status").agg(F.count("*").alias("pages"))
-
-
-@register("q_text_status_whole", r"WITH t AS (SELECT regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT CASE WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'short' ELSE 'ok' END AS status, count(*) AS pages FROM t GROUP BY 1")
-def _status_whole(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(T.text_status(F.col("text")).alias("status"))
     return d.groupBy("status").agg(F.count("*").alias("pages"))
 
@@ -71,48 +65,22 @@ def _batches(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(b.alias("b")).select(F.regexp_extract("b", r"^(.*)_ver(\d+)$", 1).alias("name"), F.regexp_extract("b", r"^(.*)_ver(\d+)$", 2).cast("smallint").alias("version"))
 
 
-SHORT = "regexp_replace(substring(text, 1, 400), '[^ -~]', '', 'g')"
-
-
-@register("q_pair_metrics", f"WITH p AS (SELECT doc_id, {SHORT} AS a, replace({SHORT}, 'm', 'rn') AS b FROM documents), e AS (SELECT *, levenshtein(a, b) AS e, length(a) AS la, length(b) AS lb FROM p) SELECT doc_id, round(CASE WHEN lb > 0 THEN e / lb WHEN e > 0 THEN 1 ELSE 0 END, 9) AS cer_a, round(CASE WHEN la > 0 THEN e / la WHEN e > 0 THEN 1 ELSE 0 END, 9) AS cer_b, round(CASE WHEN la + lb > 0 THEN e / ((la + lb) / 2) ELSE 0 END, 9) AS cer_sym FROM e")
+# both compare whole texts, which the SQL engine is too slow for: tests by brute force
+@register("q_pair_metrics")
 def _pairs(spark, sf_dir):
-    a = F.regexp_replace(F.substring("text", 1, 400), "[^ -~]", "")
-    p = table(spark, sf_dir, "documents").select("doc_id", a.alias("a"), F.replace(a, F.lit("m"), F.lit("rn")).alias("b"))
-    return p.select("doc_id", *(F.round(c, 9).alias(n) for n, c in X.pair_metrics(F.col("a"), F.col("b")).items()))
-
-
-@register("q_hat3", f"WITH p AS (SELECT doc_id, {SHORT} AS a, replace({SHORT}, 'm', 'rn') AS b, replace({SHORT}, 'e', 'c') AS c FROM documents), d AS (SELECT doc_id, levenshtein(a, b) / greatest(length(a), 1) AS ab, levenshtein(a, c) / greatest(length(a), 1) AS ac, levenshtein(b, c) / greatest(length(a), 1) AS bc FROM p) SELECT doc_id, round(greatest((ab + ac - bc) / 2, 0), 9) AS a, round(greatest((ab + bc - ac) / 2, 0), 9) AS b, round(greatest((ac + bc - ab) / 2, 0), 9) AS c FROM d")
-def _hat(spark, sf_dir):
-    a = F.regexp_replace(F.substring("text", 1, 400), "[^ -~]", "")
-    p = table(spark, sf_dir, "documents").select("doc_id", a.alias("a"), F.replace(a, F.lit("m"), F.lit("rn")).alias("b"), F.replace(a, F.lit("e"), F.lit("c")).alias("c"))
-    n = F.greatest(F.length("a"), F.lit(1))
-    d = p.select("doc_id", (F.levenshtein("a", "b") / n).alias("ab"), (F.levenshtein("a", "c") / n).alias("ac"), (F.levenshtein("b", "c") / n).alias("bc"))
-    return d.select("doc_id", *(F.round(c, 9).alias(k) for k, c in X.hat3(F.col("ab"), F.col("ac"), F.col("bc")).items()))
-
-
-# the two queries above compare the first 400 characters, as their SQL does; these compare whole texts, which the SQL engine is too slow for
-@register("q_pair_metrics_whole")
-def _pairs_whole(spark, sf_dir):
     p = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"))
     p = p.withColumn("e", X.whole_levenshtein(F.col("a"), F.col("b")))
     return p.select("doc_id", *(F.round(c, 9).alias(n) for n, c in X.pair_metrics(F.col("a"), F.col("b"), F.col("e")).items()))
 
 
-@register("q_hat3_whole")
-def _hat_whole(spark, sf_dir):
+@register("q_hat3")
+def _hat(spark, sf_dir):
     p = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
     n = F.greatest(F.length("a"), F.lit(1))
     d = p.select("doc_id", *((X.whole_levenshtein(F.col(x), F.col(y)) / n).alias(x + y) for x, y in ("ab", "ac", "bc")))
     return d.select("doc_id", *(F.round(c, 9).alias(k) for k, c in X.hat3(F.col("ab"), F.col("ac"), F.col("bc")).items()))
 
 
-@register("q_dice", f"WITH {PAGES}, t AS (SELECT doc_id, tokens[1:60] AS a, tokens[11:70] AS b FROM pg), w AS (SELECT doc_id, a, b, unnest(list_distinct(a)) AS w FROM t), c AS (SELECT doc_id, sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) AS c FROM w GROUP BY 1) SELECT t.doc_id, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * coalesce(c, 0) / (len(a) + len(b)) ELSE 1 END, 9) AS dice FROM t LEFT JOIN c USING (doc_id)")
-def _dice(spark, sf_dir):
-    t = text_pages(spark, sf_dir).select("doc_id", F.filter(F.split("words", " "), lambda x: x != "").alias("t"))
-    p = t.select("doc_id", F.slice("t", 1, 60).alias("a"), F.slice("t", 11, 60).alias("b"))
-    return p.select("doc_id", F.round(X.dice(F.col("a"), F.col("b")), 9).alias("dice"))
-
-
 SECOND = "list_transform(tokens, lambda x: replace(x, 'm', 'rn'))"
 
 
@@ -122,8 +90,8 @@ def _both_readings(spark, sf_dir):
     return t.withColumn("b", F.transform("a", lambda x: F.replace(x, F.lit("m"), F.lit("rn"))))
 
 
-@register("q_dice_whole", f"WITH {PAGES}, t AS (SELECT doc_id, list_transform(tokens, lambda x: CASE WHEN length(x) > 40 THEN '_' ELSE x END) AS tokens FROM pg), u AS (SELECT doc_id, tokens AS a, {SECOND} AS b FROM t), w AS (SELECT doc_id, unnest(a) AS w, 1 AS x, 0 AS y FROM u UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM u), c AS (SELECT doc_id, sum(c) AS c FROM (SELECT doc_id, least(sum(x), sum(y)) AS c FROM w GROUP BY doc_id, w) GROUP BY 1) SELECT u.doc_id, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * coalesce(c, 0) / (len(a) + len(b)) ELSE 1 END, 9) AS dice FROM u LEFT JOIN c USING (doc_id)")
-def _dice_whole(spark, sf_dir):
+@register("q_dice", f"WITH {PAGES}, t AS (SELECT doc_id, list_transform(tokens, lambda x: CASE WHEN length(x) > 40 THEN '_' ELSE x END) AS tokens FROM pg), u AS (SELECT doc_id, tokens AS a, {SECOND} AS b FROM t), w AS (SELECT doc_id, unnest(a) AS w, 1 AS x, 0 AS y FROM u UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM u), c AS (SELECT doc_id, sum(c) AS c FROM (SELECT doc_id, least(sum(x), sum(y)) AS c FROM w GROUP BY doc_id, w) GROUP BY 1) SELECT u.doc_id, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * coalesce(c, 0) / (len(a) + len(b)) ELSE 1 END, 9) AS dice FROM u LEFT JOIN c USING (doc_id)")
+def _dice(spark, sf_dir):
     return _both_readings(spark, sf_dir).select("doc_id", F.round(X.whole_dice(F.col("a"), F.col("b")), 9).alias("dice"))
 
 
@@ -168,17 +136,8 @@ def _haversine(spark, sf_dir):
     return a.join(b, F.col("y.k") == F.col("x.k") + 1).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.round(haversine(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon")), 6).alias("km"))
 
 
-@register("q_kept_lost_ngrams", f"WITH {PAGES}, t AS (SELECT doc_id, tokens[1:40] AS a, tokens[6:45] AS b FROM pg), g AS (SELECT doc_id, list_distinct(list_transform(list_zip(a, a[2:]), lambda p: p[1] || ' ' || p[2])) AS x, list_distinct(list_transform(list_zip(b, b[2:]), lambda p: p[1] || ' ' || p[2])) AS y FROM t WHERE len(a) > 6) SELECT doc_id, len(list_filter(list_intersect(x, y), lambda v: v IS NOT NULL))::INT AS kept, len(list_filter(x, lambda v: v IS NOT NULL AND NOT list_contains(y, v)))::INT AS lost FROM g")
+@register("q_kept_lost_ngrams", f"WITH {PAGES}, t AS (SELECT doc_id, list_transform(tokens, lambda x: CASE WHEN length(x) > 40 THEN '_' ELSE x END) AS tokens FROM pg), u AS (SELECT doc_id, tokens AS a, {SECOND} AS b FROM t), g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS v FROM u), h AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]))) AS v FROM u), n AS (SELECT g.doc_id, count(h.v) AS kept, count(*) - count(h.v) AS lost FROM g LEFT JOIN h ON g.doc_id = h.doc_id AND g.v = h.v GROUP BY 1) SELECT doc_id, coalesce(kept, 0)::INT AS kept, coalesce(lost, 0)::INT AS lost FROM u LEFT JOIN n USING (doc_id)")
 def _ngrams(spark, sf_dir):
-    t = text_pages(spark, sf_dir).select("doc_id", F.filter(F.split("words", " "), lambda x: x != "").alias("t"))
-    t = t.select("doc_id", F.slice("t", 1, 40).alias("a"), F.slice("t", 6, 40).alias("b")).where(F.size("a") > 6)
-    two = lambda c: F.array_distinct(F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))
-    g = t.select("doc_id", two("a").alias("x"), two("b").alias("y"))
-    return g.select("doc_id", F.size(F.array_intersect("x", "y")).alias("kept"), F.size(F.array_except("x", "y")).alias("lost"))
-
-
-@register("q_kept_lost_ngrams_whole", f"WITH {PAGES}, t AS (SELECT doc_id, list_transform(tokens, lambda x: CASE WHEN length(x) > 40 THEN '_' ELSE x END) AS tokens FROM pg), u AS (SELECT doc_id, tokens AS a, {SECOND} AS b FROM t), g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS v FROM u), h AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]))) AS v FROM u), n AS (SELECT g.doc_id, count(h.v) AS kept, count(*) - count(h.v) AS lost FROM g LEFT JOIN h ON g.doc_id = h.doc_id AND g.v = h.v GROUP BY 1) SELECT doc_id, coalesce(kept, 0)::INT AS kept, coalesce(lost, 0)::INT AS lost FROM u LEFT JOIN n USING (doc_id)")
-def _ngrams_whole(spark, sf_dir):
     two = lambda c: F.array_distinct(F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))
     g = _both_readings(spark, sf_dir).select("doc_id", two("a").alias("x"), two("b").alias("y"))
     return g.select("doc_id", F.size(F.array_intersect("x", "y")).alias("kept"), F.size(F.array_except("x", "y")).alias("lost"))

@@ -31,8 +31,8 @@ def test_whole_edits_against_a_table():
 
 def test_edits_late_in_a_text(spark, whole):
     d, texts = whole
-    pairs = {r["doc_id"]: r for r in queries()["q_pair_metrics_whole"](spark, d).collect()}
-    hats = {r["doc_id"]: r for r in queries()["q_hat3_whole"](spark, d).collect()}
+    pairs = {r["doc_id"]: r for r in queries()["q_pair_metrics"](spark, d).collect()}
+    hats = {r["doc_id"]: r for r in queries()["q_hat3"](spark, d).collect()}
     for i, a in enumerate(texts):
         if a is None:
             assert pairs[i]["cer_a"] == 0 and hats[i]["a"] == 0  # as the SQL of the shorter queries has it
@@ -46,8 +46,8 @@ def test_edits_late_in_a_text(spark, whole):
 
 def test_words_and_pairs_late_in_a_text_and_in_short_ones(spark, whole):
     d, texts = whole
-    dice = {r["doc_id"]: r["dice"] for r in queries()["q_dice_whole"](spark, d).collect()}
-    grams = {r["doc_id"]: (r["kept"], r["lost"]) for r in queries()["q_kept_lost_ngrams_whole"](spark, d).collect()}
+    dice = {r["doc_id"]: r["dice"] for r in queries()["q_dice"](spark, d).collect()}
+    grams = {r["doc_id"]: (r["kept"], r["lost"]) for r in queries()["q_kept_lost_ngrams"](spark, d).collect()}
     # 1: alpha beta 90 times (2 pairs, words 180 of 184 the same in both readings); then mimic emblem ñandú me
     assert grams[1] == (2, 4) and dice[1] == pytest.approx(181 / 184, abs=1e-8)
     assert grams[2] == (0, 1) and dice[2] == 0.5
@@ -55,5 +55,5 @@ def test_words_and_pairs_late_in_a_text_and_in_short_ones(spark, whole):
 
 
 def test_status_of_whole_texts(spark, whole):
-    got = {r["status"]: r["pages"] for r in queries()["q_text_status_whole"](spark, whole[0]).collect()}
+    got = {r["status"]: r["pages"] for r in queries()["q_text_status"](spark, whole[0]).collect()}
     assert got == {"ok": 2, "short": 3, "empty": 2}
