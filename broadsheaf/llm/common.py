@@ -17,18 +17,23 @@ BATCH_ROWS = 2000
 #: Bytes of text that a vectorised step takes at once.
 SLICE_BYTES = 2 << 20
 
+#: A key is hot if it has more than this part of all rows, and more rows than HOT_ROWS.
+HOT_SHARE, HOT_ROWS = 1000, 256
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Only where the session names none and runs on one machine (tests) a local folder is set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("spark.broadsheaf.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="broadsheaf-")
         spark.conf.set("spark.broadsheaf.checkpoint.dir", found)
     return found.rstrip("/")
@@ -111,6 +116,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hot_rows(total: int) -> int:
+    """Rows of one key, of ``total`` rows, above which the key is hot."""
+    return max(total // HOT_SHARE, HOT_ROWS)
+
+
+def join_dealt(rows: DataFrame, per: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``per``, which has one row per key; its column ``count`` tells how many of the ``total`` rows have the key.
+
+    A hot key has more than ``total // HOT_SHARE`` rows, so there are fewer than HOT_SHARE of them: their rows of ``per`` are
+    broadcast, and ``rows`` with a hot key stay where they are. All others are joined by a shuffle on the keys.
+    """
+    unit = hot_rows(total)
+    hot, cold = per.where(F.col(count) > unit), per.where(F.col(count) <= unit)
+    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return few.join(cold.hint("merge"), keys).unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def row_key(text: str = "text") -> list[Column]:
     """Two hashes of the whole text: with them equal texts are found without moving texts."""
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7919), F.col(text)).alias("h2")]

@@ -5,33 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """u and the least of u and its neighbours."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+from .common import hot_rows, materialise
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) of every node that has an edge to another.
 
-    Each round is two aggregations and two joins on the edge table, which only shrinks in what it has to tell: a hub
-    is the *value* of many rows, never a group that must be collected. Stops when a round changes nothing.
+    Edges lead from a node to a lesser one. Each round has two steps. Large star: an edge to a node that has lesser neighbours
+    itself leads to the least of them instead; hubs, to which many edges lead, are few and broadcast with their least neighbour.
+    Small star: a node and its lesser neighbours lead to the least of them. Stops when a round changes nothing; raises where
+    ``rounds`` do not reach that.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = materialise(now, "edges")
-    state = None
+    state = (now.count(), None)
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: neighbours above u go to the least of u's neighbourhood
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: neighbours up to u, and u itself, go to the least of them
-        small = large.join(_least(large), "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialise(small, "edges")
-        new = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("v"), F.count_if(F.col("u") < F.col("v"))).first()
+        if not state[0]:
+            break
+        least = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        hubs = now.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows(state[0])).select("v")
+        hubs = hubs.join(least.hint("merge"), F.col("v") == F.col("w"), "left").select("v", F.coalesce("m", "v").alias("m"))
+        few = now.join(F.broadcast(hubs.select("v")), "v", "left_anti").join(least.hint("merge"), F.col("v") == F.col("w"), "left")
+        large = few.select("u", F.coalesce("m", "v").alias("v")).unionByName(now.join(F.broadcast(hubs), "v").select("u", F.col("m").alias("v")))
+        large = large.repartition("u").dropDuplicates(["u", "v"])  # a node has few lesser neighbours
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        now = materialise(small.where("u <> v").distinct(), "edges")
+        new = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
