@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, ranges, row_key, slices, spans, texts, tune
+from .common import join_dealt, materialise, mix64, ranges, row_key, slices, spans, texts, tune
 
 LENGTH, GRAM = 400, 100
 #: Windows that are anchored at a time.
@@ -290,17 +290,20 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     nodes = signed.groupBy(*key).agg(F.count("*").alias("rows"), F.first("found").alias("found")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
     spots = nodes.select("node", F.explode("found").alias("f")).select("node", "f.h", "f.r", F.col("f.first").cast("int").alias("first"), F.col("f.starts").cast("int").alias("starts"))
-    often = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    # what a corpus gives has no size bound: joins with it are sort-merge joins at every size
-    occ = materialise(spots.join(often.hint("merge"), "h"), "shared")
+    often = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # what a corpus gives has no size bound: joins with it are sort-merge joins at every size, with the rows of hot keys dealt
+    spot_count = nodes.agg(F.sum(F.size("found"))).first()[0] or 0
+    occ = materialise(join_dealt(spots, often, ["h"], "n", spot_count).drop("n"), "shared")
     classes = materialise(occ.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("node", "first", "starts")).alias("rep")), "classes")
+    occ_count, class_count = occ.count(), classes.count()
     per = classes.groupBy("h").agg(F.count("*").alias("k"), F.ceil(F.count("*") / GROUP_CLASSES).cast("int").alias("n_sub"))
     per = per.where("k > 1")
-    several = classes.join(per, "h").select("h", "r", "c", "n_sub", F.pmod(F.xxhash64("r"), F.col("n_sub")).cast("int").alias("sub"), "rep.*")
+    several = join_dealt(classes, per, ["h"], "k", class_count).select("h", "r", "c", "n_sub", F.pmod(F.xxhash64("r"), F.col("n_sub")).cast("int").alias("sub"), "rep.*")
     wanted = several.groupBy("node").agg(F.collect_list(F.struct("h", "r", "c", "n_sub", "sub", "first", "starts")).alias("want"))  # regions of one text
     # texts with a region that occurs elsewhere are read once more, each once
     held = nodes.select("node", *key).join(occ.select("node").distinct(), "node", "left_semi")
-    some = materialise(keyed.join(held.hint("merge"), key).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    # copies are one before they are dealt
+    some = materialise(keyed.groupBy(*key).agg(F.min("text").alias("text")).join(held.hint("merge"), key).select("node", "text"), "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,9 +319,12 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     lone = marks.where("kind = 1")
     again = lone.groupBy("s1", "s2").agg(F.sum("times").alias("t")).where("t > 1")
     across = lone.where("times = 1").join(again, ["s1", "s2"]).select("h", "r", "first", "last")
-    alone = classes.where("c > 1").join(per.select("h"), "h", "left_anti").select("h", "r", F.lit(0).cast("long").alias("first"), (F.col("rep.starts") - 1).alias("last"))
+    alone = classes.groupBy("h").agg(F.count("*").alias("k"), F.first(F.struct("r", "c", "rep")).alias("x")).where("k = 1 and x.c > 1")
+    alone = alone.select("h", "x.r", F.lit(0).cast("long").alias("first"), (F.col("x.rep.starts") - 1).cast("long").alias("last"))
     found = runs.unionByName(across).unionByName(alone).withColumnRenamed("first", "a").withColumnRenamed("last", "b")
-    covered = occ.join(found.hint("merge"), ["h", "r"]).groupBy("node").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))).alias("cover"))
+    found = found.groupBy("h", "r").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # of one region
+    found = found.join(classes.select("h", "r", "c").hint("merge"), ["h", "r"])
+    covered = join_dealt(occ, found, ["h", "r"], "c", occ_count).withColumn("run", F.explode("runs")).select("node", "first", "run.a", "run.b").groupBy("node").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))).alias("cover"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,8 +352,8 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     cleaned = some.join(covered.hint("merge"), "node").mapInArrow(strip, "node long, n_removed long, n_spans long, kept_sha256 string" + extra)
     empty = hashlib.sha256(b"").hexdigest()
     all_of_it = (F.col("rows") > 1) & (F.col("n_bytes") >= length)
-    counted = nodes.select("node", *key, "rows").join(cleaned, "node", "left")
-    out = signed.select("doc_id", *key, "sha", "n_bytes").join(counted, key)
+    counted = materialise(nodes.select("node", *key, "rows").join(cleaned, "node", "left"), "counted")
+    out = join_dealt(signed.select("doc_id", *key, "sha", "n_bytes"), counted, key, "rows", signed.count())
     result = out.select(
         "doc_id", "n_bytes",
         F.when(all_of_it, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
