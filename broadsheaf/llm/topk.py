@@ -1,23 +1,20 @@
 """Exact top-k inner-product search by three phases with a uniform threshold.
 
-The components are dealt to ``lists`` blocks, and each block scores every vector on its own components only, as
-the nodes of a distributed top-k query do; a vector's score is the sum over the blocks. Queries and candidates are
-cut into chunks, and each task takes one chunk of both.
-
-1. *Gather*: every block of every chunk gives its k best entries. Their full scores make a lower bound t of the
-   k-th best score of each query.
-2. *Cutoff*: a vector whose partial scores all lie below a cutoff that sums up to t over the blocks cannot beat
-   t. The cutoffs are uniform: t and the block's own share of the query's spread, cut in equal parts. Every block
-   hands over the entries that reach its cutoff; the entry's bound (known parts, and the cutoff for the others)
-   must reach t as well.
-3. *Resolve*: the scores of what was handed over are computed in full, and the k best per query are kept.
+The components are dealt to ``lists`` blocks, as to the nodes of a distributed top-k query; a vector's score is the sum of its
+scores over the blocks. Queries and candidates are cut into chunks, and each task takes one chunk of both.
+
+1. *Gather*: the first block alone scores all vectors of a chunk, and of its k best per query the full scores are looked up.
+   The k best of these over all chunks give a lower bound t of the k-th best score of each query.
+2. *Cutoff*: t is sent to all chunks. What the blocks not yet known can add is at most the product of the lengths of their parts
+   of both vectors, so an entry whose known scores and that bound do not reach t cannot be among the best and is let go.
+3. *Resolve*: the other blocks score what is left, with the cutoff applied again after each, and the k best per query are kept.
 
 All arithmetic is exact: components are whole numbers, sums that could leave 2^53 use 64-bit integers.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; shorter vectors count
 as if padded with zeros; of identical vectors in a chunk only the k + 1 with the smallest ids can be among the
-best and go on; equal scores go to the smaller id; null ids take no part; repeated ids are separate candidates, but
-never for a query of the same id; an empty table gives an empty result; other columns are not read.
+best and go on; equal scores go to the smaller id; null ids take no part; rows with repeated ids are queries and candidates of
+their own, and only a query's own row is no candidate for it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,14 +44,17 @@ def _matrix(rows: list[bytes], dims: int) -> np.ndarray:
 
 
 def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Whole-number inner products of all rows of q and v."""
-    if not q.size or not v.size:
-        return np.zeros((len(q), len(v)), dtype=np.int64)
-    if float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < EXACT:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
+    """Whole-number inner products of all rows of q and v, in their type."""
     return q @ v.T
 
 
+def _exact(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as floating-point numbers where all sums of products are exact, else as 64-bit integers."""
+    if q.size and v.size and float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < EXACT:
+        return q.astype(np.float64), v.astype(np.float64)
+    return q, v
+
+
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """id and packed whole-number components floor(scale * x) of the vectors that take part."""
 
@@ -83,24 +83,29 @@ def _chunks(rows: DataFrame, size: int, keep: int | None) -> tuple[DataFrame, in
     parts = max(1, -(-n // size))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
+        pdf = pdf.sort_values(["vec_id", "row"], kind="stable")
         if keep:
             pdf = pdf[pdf.groupby("v").cumcount() < keep]
         lens = pdf["v"].map(len).to_numpy(dtype="<i4")
-        return pd.DataFrame({"chunk": [key[0]], "n": [len(pdf)], "ids": [pdf["vec_id"].to_numpy(dtype="<i8").tobytes()], "lens": [lens.tobytes()], "data": [b"".join(pdf["v"])]})
+        return pd.DataFrame({"chunk": [key[0]], "n": [len(pdf)], "ids": [pdf["vec_id"].to_numpy(dtype="<i8").tobytes()], "rows": [pdf["row"].to_numpy(dtype="<i8").tobytes()], "lens": [lens.tobytes()], "data": [b"".join(pdf["v"])]})
+
+    dealt = rows.withColumn("chunk", _chunk(parts))
+    return dealt.groupBy("chunk").applyInPandas(run, "chunk int, n int, ids binary, rows binary, lens binary, data binary"), parts
+
 
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int"))
-    return dealt.groupBy("chunk").applyInPandas(run, "chunk int, n int, ids binary, lens binary, data binary"), parts
+def _chunk(parts: int):
+    return F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
 
 
-def _open(ids: bytes, lens: bytes, data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    ends = np.cumsum(np.frombuffer(lens, dtype="<i4"))
-    return np.frombuffer(ids, dtype="<i8"), [data[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+def _open(r: dict, head: str = "") -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ends = np.cumsum(np.frombuffer(r[head + "lens"], dtype="<i4"))
+    data = r[head + "data"]
+    return np.frombuffer(r[head + "ids"], dtype="<i8"), np.frombuffer(r[head + "rows"], dtype="<i8"), [data[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
 
 def _pairs(queries: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     """Each chunk of queries (0 .. n - 1) with each chunk of candidates: a stated query set against all rows, in blocks."""
-    c = candidates.select(F.col("chunk").alias("c_chunk"), F.col("ids").alias("c_ids"), F.col("lens").alias("c_lens"), F.col("data").alias("c_data"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"))
+    c = candidates.select(F.col("chunk").alias("c_chunk"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "rows", "lens", "data")), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"))
     return c.join(queries.hint("shuffle_hash"), "chunk").withColumnRenamed("chunk", "q_chunk").repartition(F.col("q_chunk"), F.col("c_chunk"))
 
 
@@ -118,78 +123,90 @@ def _better(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, lists: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _lengths(m: np.ndarray, blocks: list[slice]) -> np.ndarray:
+    """For each row the length of its part in the blocks after each (blocks, rows)."""
+    squares = [np.square(m[:, s].astype(np.float64)).sum(axis=1) for s in blocks[1:]]
+    return np.sqrt(np.cumsum([np.zeros(len(m)), *squares[::-1]], axis=0)[::-1])
+
+
+def _resolved(q: np.ndarray, v: np.ndarray, blocks: list[slice], known: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, candidate and full score of the entries that can reach the queries' bounds ``t`` (-inf: none is let go)."""
+    left_q, left_v = _lengths(q, blocks), _lengths(v, blocks)
+    # what floating point may lose: of scores, of lengths and of the bounds
+    t = t - 1 - 1e-9 * (np.abs(np.where(np.isfinite(t), t, 0)) + np.linalg.norm(q.astype(np.float64), axis=1) * np.linalg.norm(v.astype(np.float64), axis=1).max(initial=0))
+    score, j = known, 0
+    while True:  # whole rows, as long as many are left
+        able = score + np.outer(left_q[j], left_v[j]) >= t[:, None]
+        j += 1
+        if j == len(blocks) or 4 * np.count_nonzero(able) <= able.size:
+            break
+        score = score + _product(q[:, blocks[j]], v[:, blocks[j]])
+    qi, vi = np.nonzero(able)
+    score = score[qi, vi]
+    for s, more_q, more_v in zip(blocks[j:], left_q[j:], left_v[j:]):  # then only what is left
+        cut = np.searchsorted(qi, np.arange(len(q) + 1)).tolist()
+        score = score + np.concatenate([_product(q[i : i + 1, s], v[vi[a:b], s])[0] for i, (a, b) in enumerate(zip(cut, cut[1:]))] or [score[:0]])
+        some = score + more_q[qi] * more_v[vi] >= t[qi]
+        qi, vi, score = qi[some], vi[some], score[some]
+    return qi, vi, score.astype(np.int64)
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, lists: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row with id divisible by ``every`` the k best other rows."""
-    rows = materialise(whole(vectors, id_col, vector_col, scale), "whole")
+    # a number for each row, written, so that it stays
+    rows = materialise(whole(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "whole")
     candidates = materialise(_chunks(rows, CHUNK, k + 1)[0], "candidates")
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.lit(1).alias("x")).drop("x")
-    # of repeated ids each vector is a query of its own; the smallest vector (as packed) of an id answers for it
-    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = rows.where(F.col("vec_id") % every == 0)
     queries, parts = _chunks(asked, QUERY_CHUNK, None)
     queries = materialise(queries, "queries")
+    shape = "row long, query_id long, vec_id long, score long"
 
     def each(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for r in b.to_pylist():
-                qi, qr = _open(r["ids"], r["lens"], r["data"])
-                ci, cr = _open(r["c_ids"], r["c_lens"], r["c_data"])
-                dims = max(len(x) // 8 for x in (*qr, *cr)) if qr or cr else 0
-                yield r, qi, _matrix(qr, dims), ci, _matrix(cr, dims), dims
+                q_id, q_row, q = _open(r)
+                c_id, c_row, c = _open(r, "c_")
+                dims = max((len(x) // 8 for x in (*q, *c)), default=0)
+                blocks = _blocks(dims, lists)
+                q, c = _exact(_matrix(q, dims), _matrix(c, dims))
+                yield r, q_id, q_row, q, c_id, c_row, c, blocks, _product(q[:, blocks[0]], c[:, blocks[0]])
 
-    n_lists = lists
+    def told(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["row", "query_id", "vec_id", "score"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, qi, q, ci, v, dims in each(batches):
-            parts = [_product(q[:, s], v[:, s]) for s in _blocks(dims, n_lists)] or [np.zeros((len(q), len(v)), np.int64)]
-            full = sum(parts)
-            out_q, out_id, out_s = [], [], []
-            for i, own in enumerate(qi.tolist()):
-                found = np.unique(np.concatenate([_better(np.where(ci == own, np.iinfo(np.int64).min, p[i]), ci, k) for p in parts]))
-                found = found[ci[found] != own]
-                found = found[_better(full[i, found], ci[found], k)]
-                out_q += [own] * len(found)
-                out_id.append(ci[found])
-                out_s.append(full[i, found])
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_s))], names=["query_id", "vec_id", "score"])
-
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        for _, q_id, q_row, q, c_id, c_row, c, _, known in each(batches):
+            out = []
+            for i, own in enumerate(q_row):
+                some = _better(known[i], c_id, k + 1)
+                some = some[c_row[some] != own]
+                out.append((np.full(len(some), own), np.full(len(some), q_id[i]), c_id[some], _product(q[i : i + 1], c[some])[0].astype(np.int64)))
+            yield from told(out)
+
+    best = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     pairs = _pairs(queries, candidates, parts)
-    first = pairs.mapInArrow(gather, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    bound = first.groupBy("query_id").agg(F.min("score").alias("t"), F.count("*").alias("n"))
+    first = pairs.mapInArrow(gather, shape).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    bound = first.groupBy("row").agg(F.min("score").alias("t"), F.count("*").alias("n"))
     # a query with fewer than k entries has no lower bound: everything must be handed over
-    bound = bound.select("query_id", F.when(F.col("n") >= k, F.col("t")).alias("t"))
-    held = asked.select(F.col("vec_id").alias("query_id"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("q_chunk")).join(bound, "query_id", "left")
-    cut = held.groupBy("q_chunk").agg(F.sort_array(F.collect_list(F.struct("query_id", F.col("t").alias("t")))).alias("bounds"))  # a chunk of queries
+    bound = bound.select("row", F.when(F.col("n") >= k, F.col("t")).alias("t"))
+    held = asked.select("row", _chunk(parts).alias("q_chunk")).join(bound, "row", "left")
+    cut = held.groupBy("q_chunk").agg(F.collect_list(F.struct("row", "t")).alias("bounds"))  # a chunk of queries
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, qi, q, ci, v, dims in each(batches):
-            t = {x["query_id"]: x["t"] for x in r["bounds"]}
-            blocks = _blocks(dims, n_lists) or [slice(0, 0)]
-            parts = [_product(q[:, s], v[:, s]) for s in blocks]
-            m = len(parts)
-            out_q, out_id, out_s = [], [], []
-            for i, own in enumerate(qi.tolist()):
-                at = ci != own
-                if t.get(own) is not None:
-                    # cutoffs that sum up to t: t in equal parts, shifted by how the blocks' largest entries differ
-                    tops = np.array([int(p[i].max(initial=0)) for p in parts], dtype=object)
-                    cuts = [(int(t[own]) + m * int(x) - int(tops.sum())) // m for x in tops]
-                    cuts[-1] = int(t[own]) - sum(cuts[:-1])
-                    over = [p[i] >= c for p, c in zip(parts, cuts)]
-                    reach = sum(np.where(o, p[i], c) for p, c, o in zip(parts, cuts, over))
-                    at &= np.any(over, axis=0) & (reach >= t[own])
-                some = np.flatnonzero(at)
-                score = sum(p[i, some] for p in parts)
-                if t.get(own) is not None:
-                    some, score = some[score >= t[own]], score[score >= t[own]]
-                keep = _better(score, ci[some], k)
-                out_q += [own] * len(keep)
-                out_id.append(ci[some[keep]])
-                out_s.append(score[keep])
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_s))], names=["query_id", "vec_id", "score"])
+        for r, q_id, q_row, q, c_id, c_row, c, blocks, known in each(batches):
+            bounds = {x["row"]: x["t"] for x in r["bounds"]}
+            t = np.array([-np.inf if bounds.get(x) is None else float(bounds[x]) for x in q_row.tolist()])
+            qi, vi, score = _resolved(q, c, blocks, known, t)
+            other = c_row[vi] != q_row[qi]
+            qi, vi, score = qi[other], vi[other], score[other]
+            at = np.searchsorted(qi, np.arange(len(q) + 1))
+            out = []
+            for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                keep = a + _better(score[a:b], c_id[vi[a:b]], k)
+                out.append((np.full(len(keep), q_row[i]), np.full(len(keep), q_id[i]), c_id[vi[keep]], score[keep]))
+            yield from told(out)
 
     second = _pairs(queries, candidates, parts).join(cut.hint("shuffle_hash"), "q_chunk")
-    found = second.mapInArrow(resolve, "query_id long, vec_id long, score long")
+    found = second.mapInArrow(resolve, shape)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

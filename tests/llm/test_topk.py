@@ -20,14 +20,22 @@ def by_hand(rows, k, every, scale=64.0):
     ids = np.array([i for i, _ in kept], dtype=np.int64)
     m = np.array([np.pad(v, (0, size - len(v))) for _, v in kept]).reshape(len(kept), size)
     out = []
-    for q in sorted({int(i) for i in ids if i % every == 0}):
-        score = m @ m[np.flatnonzero(ids == q)[0]]
-        some = np.flatnonzero(ids != q)
+    for own in np.flatnonzero(ids % every == 0):  # each row is a query of its own
+        score = m @ m[own]
+        some = np.delete(np.arange(len(ids)), own)
         best = some[np.lexsort((ids[some], -score[some]))[:k]]
-        out += [(q, r + 1, int(ids[j]), int(score[j])) for r, j in enumerate(best)]
+        out += [(int(ids[own]), r + 1, int(ids[j]), int(score[j])) for r, j in enumerate(best)]
     return out
 
 
+def test_repeated_ids_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "CHUNK", 8)
+    r = np.random.default_rng(1)
+    rows = [(int(i % 25), r.normal(size=4).tolist()) for i in range(70)] + [(0, [1.0, 2.0])] * 5 + [(20, [0.5, 0.5, 0.0, 0.0])] * 30
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in T.top_k(frame, 6, 20).collect()) == sorted(by_hand(rows, 6, 20))
+
+
 @pytest.mark.parametrize("lists", [1, 2, 5])
 def test_odd_vectors(spark, monkeypatch, lists):
     monkeypatch.setattr(T, "CHUNK", 16)
