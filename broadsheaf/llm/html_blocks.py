@@ -4,8 +4,12 @@ A page is cut into flat blocks at block-level tags. A block has its word count,
 of the elements around it; the tree sees these for the block, the one before and the one after it. It is grown
 (Gini, fixed depth) from the small labelled table below, once, on the driver.
 
-Defined cases: null and empty html, and pages without a main block, give an empty string; comments, scripts and
-styles that do not end run to the end of the page; repeated rows give repeated results; an empty table an empty
+The flags tell menus, notices and the article element apart; word counts and link densities tell link lists from text inside the
+article too, and decide alone on pages without such an element.
+
+Defined cases: null and empty html, and pages without a main block, give an empty string; comments, scripts, styles, titles and
+text fields that do not end run to the end of the page; other elements end with the page, a head at the first element that cannot
+stand in it; a quote that does not end makes all later quotes characters like others; after the last ">" all is text; repeated rows give repeated results; an empty table an empty
 one; columns other than page id, url and html are not read.
 """
 
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +29,19 @@ from .common import tune
 
 MAIN = "page_id long, url string, text string, n_chars long"
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|button|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+#: Elements without markup inside; one that does not end runs to the end of the page.
+RAW = frozenset("script style title textarea iframe noframes xmp".split())
+#: Elements passed over as a whole; where one does not end, its tag alone is.
+SKIPPED = frozenset("noscript template svg math object canvas select button".split())
+#: What may stand in a head; any other element ends it.
+IN_HEAD = RAW | SKIPPED | frozenset("head meta link base".split())
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img data ruby rt rp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is not the article's.
-APART = frozenset("nav header footer aside form menu dialog".split())
+APART = frozenset("head nav header footer aside form menu dialog".split())
 #: Words in a class, id or role that tell the same.
 APART_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|masthead|footer|foot|side-?bar|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription"
@@ -52,6 +59,9 @@ LABELLED = (
     (40, 0.0, 12, 0.0, 35, 0.0, 0, 1, 0, 1, 1), (1, 0.0, 80, 0.0, 60, 0.0, 0, 1, 0, 1, 1), (3, 0.0, 5, 0.0, 4, 0.0, 0, 1, 0, 1, 1),
     (9, 0.0, 6, 0.0, 45, 0.0, 0, 1, 1, 1, 1), (120, 0.1, 60, 0.0, 30, 0.0, 0, 1, 0, 1, 1), (25, 0.5, 40, 0.0, 50, 0.0, 0, 1, 0, 1, 1),
     (2, 1.0, 30, 0.0, 30, 0.0, 0, 1, 0, 1, 1), (15, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1, 1), (300, 0.0, 9, 0.0, 7, 0.0, 0, 1, 0, 1, 1), (6, 0.0, 1, 1.0, 5, 0.0, 0, 1, 1, 1, 1),
+    # link lists inside the article: linked words next to linked words
+    (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 0, 1, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0, 1, 0), (5, 1.0, 4, 1.0, 40, 0.0, 0, 1, 0, 1, 0), (8, 0.9, 6, 1.0, 0, 0.0, 0, 1, 0, 1, 0), (4, 1.0, 1, 0.0, 5, 0.9, 0, 1, 0, 1, 0), (30, 1.0, 25, 1.0, 28, 1.0, 0, 1, 0, 1, 0),
+    (12, 0.9, 40, 0.0, 50, 0.0, 0, 1, 0, 1, 1), (2, 0.5, 3, 0.5, 4, 0.5, 0, 1, 0, 1, 1), (60, 0.3, 50, 0.4, 70, 0.2, 0, 1, 0, 1, 1), (4, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 1, 1), (6, 1.0, 40, 0.1, 60, 0.0, 0, 1, 1, 1, 1), (5, 0.0, 40, 0.0, 3, 1.0, 0, 1, 0, 1, 1), (50, 0.0, 3, 1.0, 4, 1.0, 0, 1, 0, 1, 1),
     # the same, but in a menu, notice, advert, form, footer or comment inside it
     (8, 0.0, 40, 0.0, 40, 0.0, 1, 1, 0, 1, 0), (60, 0.0, 40, 0.0, 0, 0.0, 1, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 30, 0.0, 1, 1, 0, 1, 0), (4, 0.0, 60, 0.0, 30, 0.0, 1, 1, 1, 1, 0), (200, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 1, 0),
     # outside the article element of a page that has one
@@ -98,13 +108,78 @@ def is_main(tree: tuple, row: tuple) -> bool:
     return tree[0] >= 0.5
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Tags and what is passed over, in page order: begin, end, name ("" if passed over), closing, attributes.
+
+    One forward scan. What was looked for in vain once (an end of an element, a quote, a ">") is not looked for again, so the
+    time follows the length of the page however broken it is.
+    """
+    at, last = 0, page.rfind(">")
+    lower = ""
+    missing: set[str] = set()
+    quotes = True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(mark, at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        if at > last:  # nothing closes: the rest is text
+            return
+        m = TAG.match(page, at)
+        if not m:
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at) + 1
+                yield at, end, "", False, ""
+                at = end
+            else:
+                at += 1
+            continue
+        end = m.end()
+        while quotes:
+            stop = STOP.search(page, end)
+            if stop and stop[0] == ">":
+                end = stop.end()
+                break
+            shut = page.find(stop[0], stop.end()) if stop else -1
+            if shut < 0:  # a quote without an end: from here on quotes are characters like others
+                quotes = False
+            end = shut + 1
+        if not quotes:
+            end = page.find(">", m.end()) + 1
+        name, closing = m[2].lower(), bool(m[1])
+        if not closing and name in RAW | SKIPPED and page[end - 2] != "/" and name not in missing:
+            lower = lower or page.translate(LOWER)
+            mark = f"</{name}"
+            shut = lower.find(mark, end)
+            while shut >= 0 and lower[shut + len(mark) : shut + len(mark) + 1].isalnum():
+                shut = lower.find(mark, shut + 1)
+            if shut >= 0:
+                shut = page.find(">", shut)
+                yield at, len(page) if shut < 0 else shut + 1, "", False, ""
+                at = len(page) if shut < 0 else shut + 1
+                continue
+            if name in RAW:
+                yield at, len(page), "", False, ""
+                return
+            missing.add(name)
+        yield at, end, name, closing, page[m.end() : end - 1]
+        at = end
+
+
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Flat blocks in page order: text, words, link density, apart, main, heading."""
     out: list[tuple[str, int, float, int, int, int]] = []
     stack: list[tuple[str, int, int]] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    apart = main = link = 0
+    apart = main = link = own = 0  # own: the paragraph or heading itself is apart
     heading = ""
 
     def end() -> None:
@@ -115,55 +190,65 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if text:
                 words = text.count(" ") + 1
                 inside = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, words, min(1.0, inside / words), int(apart > 0), int(main > 0), int(bool(heading))))
+                out.append((text, words, min(1.0, inside / words), int(apart + own > 0), int(main > 0), int(bool(heading))))
         parts, linked = [], []
 
     def close(tag: str) -> None:
-        nonlocal apart, main, heading
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                for _, a, m in stack[i:]:
-                    apart -= a
-                    main -= m
-                del stack[i:]
+        nonlocal apart, main
+        while open_[tag]:
+            name, a, m = stack.pop()
+            open_[name] -= 1
+            apart -= a
+            main -= m
+            if name == tag:
                 return
 
     at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            s = page[at : m.start()]
+    for begin, finish, tag, closing, attributes in markup(page):
+        if begin > at:
+            s = page[at:begin]
             parts.append(s)
             if link:
                 linked.append(s)
-        at = m.end()
-        tag = (m[3] or "").lower()
+        at = finish
         if not tag:
-            if m[1]:
-                parts.append(" ")
+            parts.append(" ")
             continue
         if tag == "a":
-            link = 0 if m[2] else 1
+            link = int(not closing)
             continue
-        if tag in INLINE:
+        if open_["head"] and tag not in IN_HEAD:
+            end()
+            close("head")
+        if tag in INLINE or tag in SKIPPED:
             continue
         end()
-        if m[2]:
-            if tag in HEADINGS:
-                heading = ""
+        if closing:
+            own, heading = 0, ""
             close(tag)
             continue
-        if tag in HEADINGS:
-            heading = tag
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID:
+            continue
+        own, heading = 0, tag if tag in HEADINGS else ""
+        if attributes.endswith("/"):
             continue
-        if tag in ("p", "li", *HEADINGS):
-            continue  # they end without a tag of their own, and carry no names that matter
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])) if m[4] else ""
+        names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if attributes else ""
         a = int(tag in APART or bool(names and APART_NAMES.search(names)))
+        if tag == "p" or tag in HEADINGS:  # they end without a tag of their own
+            own = a
+            continue
+        if tag == "li" and open_["li"]:  # so do list items, within their list
+            for name, _, _ in reversed(stack):
+                if name in ("ul", "ol", "menu"):
+                    break
+                if name == "li":
+                    close("li")
+                    break
         mm = int(tag in ("article", "main") or bool(names and MAIN_NAMES.search(names)) and not a)
         apart += a
         main += mm
         stack.append((tag, a, mm))
+        open_[tag] += 1
     if at < len(page):
         parts.append(page[at:])
     end()

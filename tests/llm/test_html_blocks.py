@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -17,6 +18,11 @@ PAGES = {
     "unclosed": ("<article><p>Kept text here.<!-- never ends <p>no</p>", "Kept text here."),
     "inside": ('<article><p>Words of the story.</p><div class="ad">Buy this now, it is very good.</div><div id="cookie-notice">We use cookies on this site.</div><ul class="related"><li>Other</li></ul><p>End of it.</p></article>', "Words of the story. End of it."),
     "no article": ("<div class=menu><a href=1>a</a> <a href=2>b</a></div><p>This page has no article element but rather long text that surely is the main text of it, with enough words.</p><div><a href=x>next</a> | <a href=y>prev</a></div>", "This page has no article element but rather long text that surely is the main text of it, with enough words."),
+    "link list in the article": ("<article><p>Words of the story, some of them.</p><ul><li><a href=1>One</a></li><li><a href=2>Two more</a></li><li><a href=3>Three</a></li></ul><p>See <a href=x>this</a> too.</p></article>", "Words of the story, some of them. See this too."),
+    "open head": ("<html><head><title>T</title><meta charset=utf-8><article><p>Text after a head that never ends.</p></article>", "Text after a head that never ends."),
+    "names on small elements": ("<article><p>Words of the story.</p><p class=advert>Buy this.</p><ul><li class=comment>Nice one!<li>A point.</ul><h2 id=related>Other</h2><p>End.</p></article>", "Words of the story. A point. End."),
+    "quotes": ("<article><p title='a > b'>One</p><p title=\"never ends>Two</p><p>Three</p></article>", "One Two Three"),
+    "odd": ("<article>1 < 2 <p>a <3 b</p><button>no<p>Go</p><select><option>x</select></article>", "1 < 2 a <3 b no Go"),
     "none": ("<nav><a href=x>Home</a></nav>", ""),
 }
 
@@ -46,3 +52,22 @@ def test_odd_rows(spark):
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert len(got) == 6 and sorted(r["n_chars"] for r in got)[-2:] == [99999, 99999]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div", "<p \">", "<div class='x\" >", "<!-", "<button>", "<li><div>", "</span-x><div>", "<svg><a '>", "<p \"'>", "<![CDATA", "x<y "])
+def test_time_follows_the_length_of_broken_pages(piece):
+    began = time.process_time()
+    H.main_text(piece * (1_000_000 // len(piece)), TREE)
+    assert time.process_time() - began < 20
+
+
+def test_very_long_pages():
+    page = "<article>" + "<p>word one two</p>" * 270_000 + "</article>"
+    assert len(page) > 5_000_000 and H.main_text(page, TREE) == " ".join(["word one two"] * 270_000)
+
+
+def test_words_and_links_decide_without_flags():
+    text, menu = " ".join(["word"] * 40), '<p><a href=x>one two</a></p>'
+    page = f"<p>{text}</p>{menu}{menu}{menu}<p>{text}</p>"
+    assert H.main_text(page, TREE) == f"{text} {text}"
+    assert H.main_text(f"<article>{page}</article>", TREE) == f"{text} {text}"
