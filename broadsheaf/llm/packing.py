@@ -10,7 +10,8 @@ lengths, which has at most ``capacity`` rows however large the corpus is, so it
    residual handled at a time.
 
 The solution is a list of runs: the pieces of length L with ranks a .. b go to sequences s, s + 1, ... at a
-fixed offset. Ranks are dealt by (length, hash) buckets, so a length that a third of all pieces have is spread.
+fixed offset. Ranks are dealt by (length, hash) buckets,
+as many as the length's pieces need, so a length that a third of all pieces have is spread.
 
 Defined cases: null and empty texts are documents with the closing id alone; repeated rows are packed as often
 as they occur; an empty table gives an empty result; columns other than id and text are not read.
@@ -33,7 +34,7 @@ from .wordtok import Encoder, default_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows in a bucket of one length, on average, within which ranks are dealt by a sort.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,9 +149,10 @@ def reduce_dominated(counts: dict[int, int], capacity: int, out: Solution) -> No
                 insort(have, length)
             if not fits:
                 break
-            # one set more leaves a smaller instance, where the same proof holds while all its pieces remain;
-            # only a set whose proof counts copies of its own pieces is fixed one by one
-            take(*fits, times=most(*fits) if len(set(fits)) == len(fits) or k == room or len(fits) == 1 else 1)
+            # one set more leaves a smaller instance, where the same proof holds while all its pieces remain; a proof
+            # that counts copies of the set's own pieces looks at three at most, so it holds while four remain
+            free = len(set(fits)) == len(fits) or k == room
+            take(*fits, times=most(*fits) if free else max(1, min((counts[x] - 4) // fits.count(x) for x in fits)))
 
 
 def best_fit(counts: dict[int, int], capacity: int, out: Solution) -> None:
@@ -208,14 +210,15 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = materialise(pieces(docs, capacity, end_id, tokenizer, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
+    # buckets by length: at most ``capacity`` rows
+    sizes = cut.sparkSession.createDataFrame([(x, -(-n // BUCKET_ROWS)) for x, n in counts.items()], "length long, buckets long")
     plan = solve(counts, capacity)
     runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 6)
     # a key that rises with (length, rank); runs are ordered by it
     top = np.int64(1) << 44
     key = runs[:, 0] * top + runs[:, 1]
 
-    tied = cut.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    tied = cut.join(F.broadcast(sizes), "length").withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("buckets"))).drop("buckets")
     before = (
         tied.groupBy("length", "b").agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("b").rowsBetween(W.unboundedPreceding, -1)))
