@@ -57,22 +57,23 @@ def attribute(first: np.ndarray, last: np.ndarray, begin: np.ndarray, finish: np
     covered = np.bincount(token, part, minlength=len(first)).astype(np.int64)
     bare = width - covered
     holds = np.bincount(token, minlength=len(first)) + (bare > 0)
-    np.add.at(cross, section, (holds[token] > 1).astype(np.int64))
+    several = holds[token] > 1
+    cross[:n] = np.bincount(section[several], minlength=n)
     cross[n] = int(((holds > 1) & (bare > 0)).sum())
-    np.add.at(share, section, part / width[token])
+    share[:n] = np.bincount(section, part / width[token], minlength=n)
     share[n] = float((bare / width).sum())
     owner = np.full(len(first), n)
     if rule == "most":
-        best = bare.copy()
-        for t, s, p in zip(token[::-1], section[::-1], part[::-1]) if (holds > 1).any() else ():
-            if p >= best[t]:
-                best[t], owner[t] = p, s
-        if not (holds > 1).any():
-            owner[token] = section
+        owner[token[~several]] = section[~several]
+        t, s, p = token[several], section[several], part[several]  # of a crossing token its largest part, the earlier one on ties
+        order = np.lexsort((s, -p, t))
+        t, s, p = t[order], s[order], p[order]
+        best = np.append(True, t[1:] != t[:-1])[: len(t)] & (p >= bare[t])
+        owner[t[best]] = s[best]
     else:
         inside = (a < n) & (begin[np.minimum(a, n - 1)] <= first) if n else np.zeros(len(first), bool)
         owner[inside] = a[inside]
-    np.add.at(count, owner, 1)
+    count += np.bincount(owner, minlength=n + 1)
     return count, cross, share if rule == "share" else count.astype(float)
 
 
