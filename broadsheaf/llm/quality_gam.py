@@ -204,12 +204,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def _least(x: DataFrame, marks: DataFrame, n: int):
+    return x.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(n).toPandas()
+
+
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, text_hash (xxhash64 of the text)."""
     x = materialise(measured(docs, id_col, text_col), "features")
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and doc_id is not null").where(~held_out())
-    marks = marks.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    taken = x.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows).toPandas()
+    marks = materialise(marks.groupBy("doc_id").agg(F.avg("y").alias("y")), "marks")
+    # the labelled rows with the least hashes: a bound on the hash first, so that few rows travel beside those taken
+    part = (1.2 * fit_rows + 1000) / max(marks.count(), 1)
+    near = marks.where(F.xxhash64("doc_id") < F.lit(int(-(2**63) + part * 2**64))) if part < 1 else marks
+    taken = _least(x, near, fit_rows)
+    if part < 1 and len(taken) < fit_rows:  # labels without a document
+        taken = _least(x, marks, fit_rows)
     model = fit(taken[list(FEATURES)].to_numpy(float), taken["y"].to_numpy(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
