@@ -23,22 +23,28 @@ date        yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy, valid  separators; a
 
 Defined cases: null texts stay null, empty ones empty; texts without a find are unchanged, byte for byte;
 repeated rows give repeated results; an empty table an empty one; other columns are passed through by
-``pseudonymise`` unless they clash with an added column, which then replaces them.
+``pseudonymise`` unless they are named like ``out_col`` or ``found_col``, which replace them. A card or IBAN beside other numbers
+or words is found by its groups, the longest run that passes first; by chance (one in ten) a card is taken together with a short
+number next to it. ``back`` holds for a value alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Private-use characters that no find holds: the first marks finds while a text is taken apart, the second escapes both.
-OPEN, SHUT = "\ue000", "\ue001"
+#: The setting that holds the key. The key must not be public: the permutation can be turned back with it.
+KEY_SETTING = "spark.broadsheaf.pseudonym.key"
+#: Private-use characters that no find holds: the first marks finds while a text is taken apart, the third tells their kind, the second escapes all.
+OPEN, SHUT, NEXT = "\ue000", "\ue001", "\ue002"
 
 EMAIL = r"(?<![A-Za-z0-9À-ɏ._%+-])[A-Za-z0-9À-ɏ][A-Za-z0-9À-ɏ._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 SECRET = r"(?:(?i:password|passwd|pwd|secret|token|api_?key|access_?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{12,}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9A-F]{40}(?![A-Za-z0-9]))"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![0-9A-Za-z+.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"
+CARD = r"(?<![0-9A-Za-z+.-])(?=[0-9](?:[ -]?[0-9]){12})(?:[0-9]++(?![A-Za-z]|\.[0-9]))(?:[ -][0-9]++(?![A-Za-z]|\.[0-9]))*+"
 IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|(?<![0-9A-Za-z(+.-])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
@@ -132,11 +138,38 @@ def luhn_ok(digits: Column) -> Column:
     return F.pmod(luhn_sum(digits), F.lit(10)) == 0
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable is not evaluated again at each use."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _card(v: Column, key: Column, back: bool) -> Column:
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    body = feistel_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), F.concat(key, F.lit(":card")), back)
-    check = F.pmod(10 - F.pmod(luhn_sum(body, 1), F.lit(10)), F.lit(10))
-    return F.when(luhn_ok(digits), _refill(v, F.concat(body, check.cast("string")), "[0-9]")).otherwise(v)
+    """A run of digit groups: from each group on, the longest run of groups with 13 to 19 digits that passes is a card."""
+    k = F.concat(key, F.lit(":card"))
+
+    def longest(groups: Column, i: Column) -> Column:
+        """Groups of the longest card from group i on, 0 if none."""
+        some = F.transform(F.sequence(F.least(F.size(groups) - i, F.lit(19)), F.lit(1), F.lit(-1)), lambda m: F.struct(m.alias("m"), F.array_join(F.slice(groups, i + 1, m), "").alias("d")))
+        # columns of small numbers are no cards: groups have three digits or more, or the run is one number in all
+        shaped = lambda m: (m == F.size(groups)) | F.forall(F.slice(groups, i + 1, m), lambda x: F.length(x) >= 3)
+        return F.coalesce(F.get(F.filter(some, lambda x: F.length(x["d"]).between(13, 19) & x["d"].rlike("^[0-9]+$") & shaped(x["m"]) & luhn_ok(x["d"])), F.lit(0))["m"], F.lit(0))
+
+    def card(digits: Column, shape: Column) -> Column:
+        body = feistel_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), k, back)
+        return _bound(body, lambda x: _refill(shape, F.concat(x, F.pmod(10 - F.pmod(luhn_sum(x, 1), F.lit(10)), F.lit(10)).cast("string")), "[0-9]"))
+
+    def whole(g: Column) -> Column:
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(g["groups"]) - 1), lambda i: F.struct(i.alias("i"), longest(g["groups"], i).alias("m"))), lambda x: x["m"] > 0)
+
+        def step(s: Column, x: Column) -> Column:
+            before = F.array_join(F.slice(g["pieces"], s["next"] + 1, x["i"] - s["next"]), "")
+            made = card(F.array_join(F.slice(g["groups"], x["i"] + 1, x["m"]), ""), F.array_join(F.slice(g["pieces"], x["i"] + 1, x["m"]), ""))
+            return F.when(s["next"] > x["i"], s).otherwise(F.struct(F.concat(s["out"], before, made).alias("out"), (x["i"] + x["m"]).alias("next")))
+
+        return F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("next")), step, lambda s: F.concat(s["out"], F.array_join(F.slice(g["pieces"], s["next"] + 1, F.size(g["pieces"])), "")))
+
+    # the groups, and each with the separator before it
+    return _bound(F.struct(F.split(v, "[ -]").alias("groups"), F.split(F.regexp_replace(v, "([ -])", f"{OPEN}$1"), OPEN, -1).alias("pieces")), whole)
 
 
 def mod97(s: Column) -> Column:
@@ -146,12 +179,28 @@ def mod97(s: Column) -> Column:
 
 
 def _iban(v: Column, key: Column, back: bool) -> Column:
-    flat = F.regexp_replace(v, " ", "")
-    land, body = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat) - 4)
-    ok = mod97(F.concat(body, land, F.substring(flat, 3, 2))) == 1
-    new = _refill(body, feistel_digits(F.regexp_replace(body, "[^0-9]", ""), F.concat(key, F.lit(":iban"), land, F.regexp_replace(body, "[0-9]", "0")), back), "[0-9]")
-    check = F.lpad((98 - mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(ok & F.length(body).between(11, 30), _refill(v, F.concat(land, check, new), "[A-Z0-9]")).otherwise(v)
+    """The longest run of groups from the start that passes; digit groups after it may hold a card."""
+
+    def checked(flat: Column) -> Column:
+        body = F.substring(flat, F.lit(5), F.length(flat) - 4)
+        return F.length(body).between(11, 30) & (mod97(F.concat(body, F.substring(flat, 1, 4))) == 1)
+
+    def written(part: Column) -> Column:
+        flat = F.replace(part, F.lit(" "), F.lit(""))
+        land, body = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat) - 4)
+        new = _refill(body, feistel_digits(F.regexp_replace(body, "[^0-9]", ""), F.concat(key, F.lit(":iban"), land, F.regexp_replace(body, "[0-9]", "0")), back), "[0-9]")
+        return _bound(new, lambda x: _refill(part, F.concat(land, F.lpad((98 - mod97(F.concat(x, land, F.lit("00")))).cast("string"), 2, "0"), x), "[A-Z0-9]"))
+
+    def whole(groups: Column) -> Column:
+        sizes = F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda m: F.forall(F.array(F.array_join(F.slice(groups, F.lit(1), m), "")), checked))
+
+        def put(m: Column) -> Column:
+            rest = F.array_join(F.slice(groups, m + 1, F.size(groups)), " ")
+            return F.concat(written(F.array_join(F.slice(groups, F.lit(1), m), " ")), F.when(rest != "", F.concat(F.lit(" "), _card(rest, key, back))).otherwise(F.lit("")))
+
+        return F.get(F.transform(F.slice(sizes, 1, 1), put), F.lit(0))
+
+    return F.coalesce(_bound(F.split(v, " "), whole), v)
 
 
 def _ipv4(v: Column, key: Column, back: bool) -> Column:
@@ -249,19 +298,45 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "broadsheaf", text_col: str = "text", out_col: str = "text", found_col: str | None = "n_found") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str = "text", found_col: str | None = "n_found") -> DataFrame:
     """``docs`` with ``out_col`` the text with pseudonyms, and ``found_col`` how many values were replaced."""
-    every = "|".join(f"(?:{p})" for p in KINDS.values())
+    # one capturing group a kind: a find is marked with as many NEXT before it as there are kinds before its own
+    every = "|".join(f"({p})" for p in KINDS.values())
+    mark = OPEN + NEXT.join(f"${i + 1}" for i in range(len(KINDS))) + OPEN
     text = F.col(text_col).cast("string")
     # segments: even places are plain text, odd places are finds
     hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    safe = F.replace(F.replace(text, F.lit(SHUT), F.lit(SHUT + "S")), F.lit(OPEN), F.lit(SHUT + "O"))
-    parts = F.when(hinted, F.split(F.regexp_replace(safe, f"({every})", f"{OPEN}$1{OPEN}"), OPEN, -1))
-    new = F.transform(parts, lambda x, i: F.when(F.pmod(i, F.lit(2)) == 1, pseudonym(x, key)).otherwise(x))
-    both = F.transform(F.array(F.struct(parts.alias("a"), new.alias("b"))), lambda s: F.struct(
-        F.replace(F.replace(F.array_join(s["b"], ""), F.lit(SHUT + "O"), F.lit(OPEN)), F.lit(SHUT + "S"), F.lit(SHUT)).alias("text"),
-        F.size(F.filter(F.zip_with(s["a"], s["b"], lambda a, b: a != b), lambda x: x)).alias("n")))[0]
-    done = docs.withColumn("__done", F.when(hinted, both)).withColumn(out_col, F.when(F.col("__done").isNotNull(), F.col("__done")["text"]).otherwise(text))
+    safe = text
+    for c, name in ((SHUT, "S"), (OPEN, "O"), (NEXT, "N")):
+        safe = F.replace(safe, F.lit(c), F.lit(SHUT + name))
+    parts = F.when(hinted, F.split(F.regexp_replace(safe, every, mark), OPEN, -1))
+
+    def made(x: Column) -> Column:
+        """The find and its pseudonym."""
+        out = F.lit(None).cast("string")
+        for i, kind in reversed(list(enumerate(KINDS))):
+            out = F.when(F.get(x, F.lit(i)) != "", MAKERS[kind](F.get(x, F.lit(i)), F.lit(key), False)).otherwise(out)
+        return F.struct(F.array_join(x, "").alias("a"), out.alias("b"))
+
+    both = F.transform(parts, lambda x, i: F.when(F.pmod(i, F.lit(2)) == 1, F.transform(F.array(F.split(x, NEXT, -1)), made)[0]).otherwise(F.struct(x.alias("a"), x.alias("b"))))
+    joined = F.transform(F.array(both), lambda s: F.struct(F.array_join(F.transform(s, lambda x: x["b"]), "").alias("text"), F.size(F.filter(s, lambda x: x["a"] != x["b"])).alias("n")))[0]
+    held = "__done"
+    while held in docs.columns:
+        held += "_"
+    new = F.col(held)["text"]
+    for c, name in ((NEXT, "N"), (OPEN, "O"), (SHUT, "S")):
+        new = F.replace(new, F.lit(SHUT + name), F.lit(c))
+    done = docs.withColumn(held, F.when(hinted, joined)).withColumn(out_col, F.when(F.col(held).isNotNull(), new).otherwise(text))
     if found_col:
-        done = done.withColumn(found_col, F.coalesce(F.col("__done")["n"], F.lit(0)))
-    return done.drop("__done")
+        done = done.withColumn(found_col, F.coalesce(F.col(held)["n"], F.lit(0)))
+    return done.drop(held)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's configuration names. Where it names none, one is drawn for this session and kept in it:
+    values stay linked within the session only, and nobody can turn them back."""
+    key = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key

@@ -69,7 +69,7 @@ def test_small_domains_are_permuted(spark, size):
 
 def test_texts(spark):
     texts = ["card 4012888888881881.", "card 4012888888881882 and 12345678 of version 3.14.15", "000-12-3456 and 29.02.2023 and 300.1.1.1", None, "", "S +1 (017) 555-7713O", "same +1 (017) 555-7713", "a" * 200_000 + "@", "1" * 50_000, "x " * 60_000 + "10.0.0.255"]
-    rows = {r["doc_id"]: r for r in P.pseudonymise(docs(spark, texts)).collect()}
+    rows = {r["doc_id"]: r for r in P.pseudonymise(docs(spark, texts), "k").collect()}
     assert rows[0]["n_found"] == 1 and "4012888888881881" not in rows[0]["text"] and rows[0]["text"].startswith("card ") and rows[0]["text"].endswith(".")
     for i in (1, 2, 3, 4, 7, 8):
         assert rows[i]["text"] == texts[i] and rows[i]["n_found"] == 0
@@ -82,7 +82,7 @@ def test_texts(spark):
 def test_whole_table_hides_what_is_found(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in d.collect()}
-    after = {r["doc_id"]: r["text"] for r in P.pseudonymise(d).collect()}
+    after = {r["doc_id"]: r["text"] for r in P.pseudonymise(d, "k").collect()}
     shapes = (r"[\w.]+@mail\d\.example\.com", r"\+1 \(\d{3}\) 555-\d{4}", r"(?<!\d)\d{16}(?!\d)", r"AKIA[A-Z0-9]{16}")
     for i, t in before.items():
         for s in shapes:
@@ -94,5 +94,30 @@ def test_whole_table_hides_what_is_found(spark):
 
 
 def test_plan_is_native_and_empty_table(spark):
-    out = P.pseudonymise(docs(spark, ["x"]).limit(0))
+    out = P.pseudonymise(docs(spark, ["x"]).limit(0), "k")
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cards_and_ibans_beside_other_numbers(spark):
+    near = ["4012888888881881 123", "12 4012888888881881", "4012 8888 8888 1881 12/27", "4012888888881881-12abc", "DE89370400440532013000 2024", "GB82WEST12345698765432 BIC", "DE89370400440532013000 4012 8888 8888 1881", "1 2 3 4 5 6 7 8 9 1 2 3 4 4012888888881881"]
+    plain = ["4012888888881882 123", "DE89370400440532013001 2024", " ".join(["7 12"] * 3000) + " x", "1234 " * 30_000]
+    rows = {r["doc_id"]: r for r in P.pseudonymise(docs(spark, near + plain), "k").collect()}
+    for i, t in enumerate(near):
+        got = rows[i]["text"]
+        assert re.sub("[0-9A-Z]", "0", got) == re.sub("[0-9A-Z]", "0", t) and rows[i]["n_found"] == 1 + (i == 6)
+        for secret in ("4012888888881881", "4012 8888 8888 1881", "DE89370400440532013000", "GB82WEST12345698765432"):
+            assert secret not in got
+    assert rows[0]["text"][-4:] == " 123" and rows[4]["text"].endswith(" 2024") and rows[5]["text"].endswith(" BIC")
+    for i, t in enumerate(plain[:2], len(near)):
+        assert rows[i]["text"] == t and rows[i]["n_found"] == 0
+
+
+def test_key_of_the_session(spark):
+    key = P.session_key(spark)
+    assert len(key) == 32 and P.session_key(spark) == key
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "card 4012888888881881 \ue000\ue001\ue002S", "kept")], "doc_id long, text string, __done string")
+    r = P.pseudonymise(d, "k").first()
+    assert r["__done"] == "kept" and r["n_found"] == 1 and r["text"].endswith("\ue000\ue001\ue002S")

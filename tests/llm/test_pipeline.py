@@ -31,7 +31,7 @@ def test_stages_take_effect(spark):
     assert apart.columns == columns and ids(apart) == ids(once) - leaked
 
     masked = C.materialise(C.personal_data(spark, apart, SF), "t4")
-    want = {r["doc_id"]: r["text"] for r in pii.pseudonymise(apart).collect()}
+    want = {r["doc_id"]: r["text"] for r in pii.pseudonymise(apart, pii.session_key(spark)).collect()}
     assert masked.columns == columns and {r["doc_id"]: r["text"] for r in masked.collect()} == want
 
     packed = C.pack(spark, masked, SF)
