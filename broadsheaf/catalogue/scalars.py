@@ -106,24 +106,36 @@ def _language(spark, sf_dir):
     return G.detect(p, "t")
 
 
-@register("q_damage")
+_REAL = {w for ws in G.FUNCTION_WORDS.values() for w in ws}
+_TOP = G.FUNCTION_WORDS["en"][:20]
+_MODEL = ", ".join(f"('{w}', 1, 0)" for w in _TOP) + ", " + ", ".join(f"('{w}', 0, 1)" for w in G.near_misses(_TOP, _REAL))
+
+
+@register("q_damage", f"""WITH {PAGES}, md(w, x, y) AS (VALUES {_MODEL}), e AS (SELECT doc_id, list_filter(tokens, lambda x: length(x) <= 40) AS t FROM pg WHERE lang = 'en'), c AS (SELECT doc_id, sum(x) AS head, sum(y) AS near FROM (SELECT doc_id, unnest(t) AS w FROM e) JOIN md USING (w) GROUP BY 1)
+SELECT doc_id, coalesce(head, 0)::BIGINT AS head, coalesce(near, 0)::BIGINT AS near, round(near / (near + head), 9) AS damage FROM e LEFT JOIN c USING (doc_id)""")
 def _damage(spark, sf_dir):
     p = text_pages(spark, sf_dir).where("lang = 'en'").select("doc_id", F.filter(F.split("words", " "), lambda x: (x != "") & (x != "_")).alias("t"))
     return G.damage(p, "t", "en").withColumn("damage", F.round("damage", 9))
 
 
-@register("q_bm25", f"""WITH {PAGES}, q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3))) AS w FROM benchmark), d AS (SELECT doc_id, list_filter(tokens, lambda x: length(x) <= 40) AS t FROM pg), tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY 1, 2),
-  df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), z AS (SELECT count(*) AS n, avg(len(t)) AS m FROM d), s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / m))) AS s FROM q JOIN tf USING (w) JOIN df USING (w) JOIN d USING (doc_id), z GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s)
-SELECT item_id, rank::INT AS rank, doc_id, round(s, 6) AS score FROM r WHERE rank <= 5""")
-def _bm25(spark, sf_dir):
+BM25 = f"""WITH {PAGES}, q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3))) AS w FROM benchmark), d AS (SELECT doc_id, list_filter(tokens, lambda x: length(x) <= 40) AS t FROM pg), tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY 1, 2),
+  df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), z AS (SELECT count(*) AS n, avg(len(t)) AS m FROM d), s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / m))) AS s FROM q JOIN tf USING (w) JOIN df USING (w) JOIN d USING (doc_id), z GROUP BY 1, 2)"""
+
+
+def bm25_scores(spark, sf_dir):
+    """Score of every page that has a word of the item, by item."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3))).alias("w"))
     d = text_pages(spark, sf_dir).select("doc_id", F.filter(F.split("words", " "), lambda x: (x != "") & (x != "_")).alias("t"))
     some = q.select("w").distinct()
     tf = d.select("doc_id", F.size("t").alias("size"), F.explode("t").alias("w")).join(some, "w", "left_semi").groupBy("doc_id", "size", "w").agg(F.count("*").alias("tf"))
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
     z = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("m"))
-    s = q.join(tf, "w").join(df, "w").crossJoin(F.broadcast(z)).groupBy("item_id", "doc_id").agg(F.sum(X.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("size"), F.col("m"))).alias("s"))  # one row of totals
-    r = s.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.round("s", 9)), "doc_id")))
+    return q.join(tf, "w").join(df, "w").crossJoin(F.broadcast(z)).groupBy("item_id", "doc_id").agg(F.sum(X.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("size"), F.col("m"))).alias("s"))  # one row of totals
+
+
+@register("q_bm25", BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s) SELECT item_id, rank::INT AS rank, doc_id, round(s, 6) AS score FROM r WHERE rank <= 5")
+def _bm25(spark, sf_dir):
+    r = bm25_scores(spark, sf_dir).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.round("s", 9)), "doc_id")))
     return r.where("rank <= 5").select("item_id", "rank", "doc_id", F.round("s", 6).alias("score"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ class Engine:
 
     def __init__(self, pages: DataFrame, first: date, last: date, max_cells: int = A.MAX_CELLS):
         self.pages, self.first, self.last, self.max_cells = pages, first, last, max_cells
+        self.kept: list[DataFrame] = []
 
     def scope(self, start: date | None = None, end: date | None = None, **sets: list | bool) -> DataFrame:
         """Pages within a range and with values of given columns; decades are named too, so partitions are pruned."""
@@ -53,11 +55,22 @@ class Engine:
         return Buckets(unit, start, end) if unit else Buckets.auto(start, end)
 
     def aggregate(self, q: str, unit: str | None = None, **filters) -> dict[str, DataFrame]:
-        """Totals, series, places, titles, languages in one pass, first and last page, and the cube that fits."""
-        hits, b = self.found(q, **filters), self.buckets(unit, filters)
+        """Totals, series, places, titles, languages in one pass, first and last page, and the cube that fits.
+
+        Text is scanned once: what matches is kept without its text for all results (``release`` frees it; a lost part is
+        computed again).
+        """
+        b = self.buckets(unit, filters)
+        hits = self.found(q, **filters).drop("text", "words").persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept.append(hits)
         cube, fitted = A.fitted_cube(hits, b, self.max_cells)
         return {"summary": A.summary(hits, fitted), "series": A.series(hits, fitted), "edges": A.edges(hits), "cube": cube, "titles": A.ranked(hits, "lccn", MAX_TITLES)}
 
+    def release(self) -> None:
+        """Free the matching pages that results were counted from."""
+        while self.kept:
+            self.kept.pop().unpersist()
+
     def hits(self, q: str, k: int = 20, offset: int = 0, newest: bool = False, **filters) -> DataFrame:
         """Pages in order, with snippets made for the pages shown only."""
         node = parse(q)

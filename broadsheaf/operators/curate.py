@@ -84,15 +84,20 @@ def choose_text(j: DataFrame) -> DataFrame:
 
 
 def publish(spark: SparkSession, parts: DataFrame, root: str, version: int) -> str:
-    """Write an immutable version partitioned by decade, then the pointer to it, last."""
+    """Write an immutable version partitioned by decade, then a pointer of its own for it, last.
+
+    Rows are dealt by ranges of decade and day, so a large decade is written by many tasks. No pointer is overwritten: a reader
+    takes the newest whole one, at any moment.
+    """
     path = f"{root}/v{version}"
-    parts.repartition("decade").sortWithinPartitions("decade", "day").write.mode("errorifexists").partitionBy("decade").option("compression", "zstd").parquet(path)
-    spark.createDataFrame([(version, path)], "version int, path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    dealt = parts.repartitionByRange("decade", "day").sortWithinPartitions("decade", "day")
+    dealt.write.mode("errorifexists").partitionBy("decade").option("compression", "zstd").parquet(path)
+    spark.createDataFrame([(version, path)], "version int, path string").coalesce(1).write.mode("errorifexists").json(f"{root}/pointers/{version}")
     return path
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    at = spark.read.schema("version int, path string").json(f"{root}/current").first()
+    at = spark.read.schema("version int, path string").json(f"{root}/pointers/*").orderBy(F.desc("version")).first()
     return spark.read.parquet(at["path"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from typing import Any
 
@@ -42,34 +43,53 @@ def newest(records: DataFrame, key: str, ts: str = "ts", late: str = LATE) -> Da
     return records.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def leases(messages: DataFrame, key: str = "key", lease: str = "10 minutes") -> DataFrame:
+def leases(messages: DataFrame, key: str = "key", lease: str = "10 minutes", keep: str = "14 days", late: str = LATE) -> DataFrame:
     """Work with a visibility lease as keyed state: columns key, action (send, receive, delete), ts.
 
-    Emits each delivery: a message is handed out again when its lease ran out, at most five times, then as dead.
+    Emits each delivery: a message is handed out again when its lease ran out, at most five times, then as dead. The state of a
+    key goes with its message (deleted or dead), and where nothing came for ``keep`` of the records' own time. Records later than
+    ``late`` are dropped.
     """
-    seconds = int(pd.Timedelta(lease).total_seconds())
+    seconds, rest = int(pd.Timedelta(lease).total_seconds()), int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         there, until, tries = state.get if state.exists else (False, 0, 0)
         out = []
-        for r in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
-            now = int(r.ts.timestamp())
-            if r.action == "send" and not there:
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        for ts, now, action in zip(rows["ts"], rows["ts"].map(pd.Timestamp.timestamp).astype(int), rows["action"]):
+            if action == "send" and not there:
                 there, until, tries = True, 0, 0
-            elif r.action == "receive" and there and now >= until:
+            elif action == "receive" and there and now >= until:
                 tries += 1
-                out.append((k[0], r.ts, tries, "dead" if tries > MAX_ATTEMPTS else "delivered"))
+                out.append((k[0], ts, tries, "dead" if tries > MAX_ATTEMPTS else "delivered"))
                 there, until = tries <= MAX_ATTEMPTS, now + seconds
-            elif r.action == "delete":
+            elif action == "delete":
                 there = False
-        state.update((there, until, tries))
+        if there:
+            state.update((there, until, tries))
+            state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000) + rest, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "ts", "attempt", "state"])
 
-    return messages.groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, attempt int, state string", "there boolean, until long, tries int", "append", GroupStateTimeout.NoTimeout)
+    return messages.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, attempt int, state string", "there boolean, until long, tries int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over what is there now and give its rows."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run an appending streaming query over what is there now, into Parquet, and give its rows.
+
+    The files go to the folder that the cluster shares (``spark.checkpoint.dir``); a session on one machine may have none.
+    """
+    spark = stream.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="broadsheaf-stream-")
+    path = f"{root.rstrip('/')}/{name}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
