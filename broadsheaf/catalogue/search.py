@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.time import Buckets
 from ..operators import aggregate as A
 from ..operators import hits as H
+from ..operators import postings as X
 from ..plans.query import parse, spellings, to_column, words_of
 from ..registry import register
 from ..sources.corpus import fact_pages, text_pages
@@ -162,3 +163,13 @@ def _opening(spark, sf_dir):
 @register("q_fact_cube", f"WITH {FACTS} SELECT place_id, (year(date) * 12 + month(date) - 1 - 1995 * 12)::INT AS bucket, count(*) AS hits FROM f WHERE price > 150000 GROUP BY 1, 2")
 def _fact_cube(spark, sf_dir):
     return A.cube(fact_pages(spark, sf_dir).where("price > 150000"), Buckets("month", date(1995, 1, 1), date(2001, 12, 31)))
+
+
+@register("q_index_terms", f"WITH {PAGES}, w AS (SELECT DISTINCT doc_id, date, unnest(list_filter(tokens, lambda x: length(x) <= 40)) AS word FROM pg) SELECT word, count(*) AS pages, min(date) AS first_date FROM w GROUP BY 1")
+def _index_terms(spark, sf_dir):
+    return X.postings(text_pages(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("pages"), F.min("date").alias("first_date"))
+
+
+@register("q_index_search", f"WITH {PAGES} SELECT doc_id, date, place_id FROM pg WHERE (contains(words, ' of the ') OR regexp_matches(words, ' tionth[^ ]* ')) AND contains(words, ' this ') AND NOT contains(words, ' sur ')")
+def _index_search(spark, sf_dir):
+    return X.found(X.postings(text_pages(spark, sf_dir)), parse('("of the" OR tionth*) this -sur')).select("doc_id", "date", "place_id")

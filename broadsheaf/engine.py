@@ -12,25 +12,30 @@ from .functions.text import snippet_udf
 from .functions.time import Buckets
 from .operators import aggregate as A
 from .operators import hits as H
+from .operators import postings as P
 from .plans.query import matches, parse, words_of
 
 MAX_LIST, MAX_TITLES = 60, 500
 
 
 class Engine:
-    """``pages``: as ``sources.corpus.text_pages`` gives them, or the parts of an index, united."""
+    """``pages``: as ``sources.corpus.text_pages`` gives them, or the parts of an index, united. With ``index`` (``operators.postings``)
+    searches are answered from the rows of their words, and text is read for the pages shown only."""
 
-    def __init__(self, pages: DataFrame, first: date, last: date, max_cells: int = A.MAX_CELLS):
-        self.pages, self.first, self.last, self.max_cells = pages, first, last, max_cells
+    def __init__(self, pages: DataFrame, first: date, last: date, max_cells: int = A.MAX_CELLS, index: DataFrame | None = None):
+        self.pages, self.first, self.last, self.max_cells, self.index = pages, first, last, max_cells, index
         self.kept: list[DataFrame] = []
 
     def scope(self, start: date | None = None, end: date | None = None, **sets: list | bool) -> DataFrame:
         """Pages within a range and with values of given columns; decades are named too, so partitions are pruned."""
+        return self._within(self.pages, start, end, **sets)
+
+    def _within(self, rows: DataFrame, start: date | None = None, end: date | None = None, **sets: list | bool) -> DataFrame:
         start, end = max(start or self.first, self.first), min(end or self.last, self.last)
         if start > end:
             raise ValueError("from is after to")
         decades = sorted({max(y // 10 * 10, 1820) for y in range(start.year, end.year + 1)})
-        out = self.pages.where(F.col("decade").isin(decades) & F.col("date").between(F.lit(start.isoformat()).cast("date"), F.lit(end.isoformat()).cast("date")))
+        out = rows.where(F.col("decade").isin(decades) & F.col("date").between(F.lit(start.isoformat()).cast("date"), F.lit(end.isoformat()).cast("date")))
         for name, value in sorted(sets.items()):
             if name not in self.pages.columns:
                 raise ValueError(f"unknown filter {name}")
@@ -43,7 +48,11 @@ class Engine:
         return out
 
     def found(self, q: str, mode: str | None = None, **filters) -> DataFrame:
-        return self.scope(**filters).where(matches(parse(q, mode), F.col("words")))
+        """Matching pages; from the index, where it can answer, without their text."""
+        node = parse(q, mode)
+        if self.index is not None and P.answers(node):
+            return P.found(self._within(self.index, **filters), node)
+        return self.scope(**filters).where(matches(node, F.col("words")))
 
     def canonical(self, q: str, mode: str | None = None, **filters) -> str:
         """One key for equal searches."""
@@ -75,6 +84,9 @@ class Engine:
         """Pages in order, with snippets made for the pages shown only."""
         node = parse(q)
         top = H.ordered(self.found(q, **filters), k, newest, offset)
+        if "text" not in top.columns:  # at most k pages: their decades prune the partitions read for their text
+            texts = self.pages.select("doc_id", "decade", "text").join(F.broadcast(top.select("doc_id", "decade")), ["doc_id", "decade"], "left_semi")
+            top = H.ordered(top.join(texts.select("doc_id", "text"), "doc_id"), k, newest)
         return top.withColumn("snippets", snippet_udf(words_of(node))("text"))
 
     def browse(self, after: tuple[int, int] | None = None, k: int = 20, newest: bool = False, **filters) -> DataFrame:
@@ -103,4 +115,4 @@ class Engine:
         return self.pages.agg(F.count("*").alias("pages"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_distinct("lccn").alias("titles"), F.count_distinct("place_id").alias("places"))
 
     def where(self, condition: Column) -> Engine:
-        return Engine(self.pages.where(condition), self.first, self.last, self.max_cells)
+        return Engine(self.pages.where(condition), self.first, self.last, self.max_cells, None if self.index is None else self.index.where(condition))
