@@ -13,11 +13,25 @@ from broadsheaf.llm import decontaminate, near_dup, packing, pii, quality_gam
 from broadsheaf.llm.common import materialise, table
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until ``docs`` has no such column."""
+    out = []
+    for n in names:
+        while n.lower() in {c.lower() for c in docs.columns}:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def _hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id and text hash are in ``keys`` (doc_id, text_hash)."""
-    k = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return hashed.join(k, F.col("__own").eqNullSafe(F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").drop("__own")
+    own, id_, hash_ = _free(docs, "__own", "__id", "__hash")
+    k = keys.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.withColumn(own, _hash()).join(k, F.col(own).eqNullSafe(F.col(hash_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_semi").drop(own)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +44,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate class: the one with the least id."""
     found = near_dup.near_duplicates(docs)
     once = _kept(docs, found.where("kept"))
-    hashed = once.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return hashed.dropDuplicates(["doc_id", "__own"]).drop("__own")  # repeated rows
+    own = _free(docs, "__own")[0]
+    return once.withColumn(own, _hash()).dropDuplicates(["doc_id", own]).drop(own)  # repeated rows
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    leaked = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("doc_id").alias("__leaked")).distinct()
-    return keyed.join(leaked, F.col("__key") == F.col("__leaked"), "left_anti").drop("__key")
+    key, gone = _free(docs, "__key", "__leaked")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    leaked = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(gone)).distinct()
+    return keyed.join(leaked, F.col(key) == F.col(gone), "left_anti").drop(key)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
