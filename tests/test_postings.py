@@ -45,7 +45,7 @@ def test_what_only_a_scan_answers(engines):
 
 def test_a_word_reads_no_text_and_is_pushed_down(engines):
     _, indexed = engines
-    plan = indexed.found("than").groupBy("place_id").count()._jdf.queryExecution().executedPlan().toString()
+    plan = P.found(indexed.index, parse("than")).groupBy("place_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(word,than)" in plan and "text" not in plan.split("ReadSchema")[1]
 
 
