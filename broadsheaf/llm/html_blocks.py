@@ -30,11 +30,14 @@ from .common import tune
 MAIN = "page_id long, url string, text string, n_chars long"
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag as it should be. A try ends at the next "<" at the latest, so all tries together follow the length of the page.
+WHOLE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*|'[^'<>]*'[^<>\"']*)*)>")
 STOP = re.compile(r"[>\"']")
 #: Elements without markup inside; one that does not end runs to the end of the page.
 RAW = frozenset("script style title textarea iframe noframes xmp".split())
 #: Elements passed over as a whole; where one does not end, its tag alone is.
 SKIPPED = frozenset("noscript template svg math object canvas select button".split())
+ENDS = {name: re.compile(rf"</{name}(?![a-z0-9])", re.I) for name in RAW | SKIPPED}
 #: What may stand in a head; any other element ends it.
 IN_HEAD = RAW | SKIPPED | frozenset("head meta link base".split())
 #: Elements that do not end a block.
@@ -115,7 +118,6 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     time follows the length of the page however broken it is.
     """
     at, last = 0, page.rfind(">")
-    lower = ""
     missing: set[str] = set()
     quotes = True
     while (at := page.find("<", at)) >= 0:
@@ -128,7 +130,9 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             continue
         if at > last:  # nothing closes: the rest is text
             return
-        m = TAG.match(page, at)
+        m = WHOLE_TAG.match(page, at)
+        whole = m is not None
+        m = m or TAG.match(page, at)
         if not m:
             if page[at + 1 : at + 2] in ("!", "?"):
                 end = page.find(">", at) + 1
@@ -138,7 +142,7 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                 at += 1
             continue
         end = m.end()
-        while quotes:
+        while quotes and not whole:
             stop = STOP.search(page, end)
             if stop and stop[0] == ">":
                 end = stop.end()
@@ -147,31 +151,24 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             if shut < 0:  # a quote without an end: from here on quotes are characters like others
                 quotes = False
             end = shut + 1
-        if not quotes:
+        if not quotes and not whole:
             end = page.find(">", m.end()) + 1
         name, closing = m[2].lower(), bool(m[1])
         if not closing and name in RAW | SKIPPED and page[end - 2] != "/" and name not in missing:
-            lower = lower or page.translate(LOWER)
-            mark = f"</{name}"
-            shut = lower.find(mark, end)
-            while shut >= 0 and lower[shut + len(mark) : shut + len(mark) + 1].isalnum():
-                shut = lower.find(mark, shut + 1)
-            if shut >= 0:
-                shut = page.find(">", shut)
-                yield at, len(page) if shut < 0 else shut + 1, "", False, ""
-                at = len(page) if shut < 0 else shut + 1
+            shut = ENDS[name].search(page, end)
+            if shut:
+                end = page.find(">", shut.end()) + 1 or len(page)
+                yield at, end, "", False, ""
+                at = end
                 continue
             if name in RAW:
                 yield at, len(page), "", False, ""
                 return
             missing.add(name)
-        yield at, end, name, closing, page[m.end() : end - 1]
+        yield at, end, name, closing, m[3] if whole else page[m.end() : end - 1]
         at = end
 
 
-LOWER = {i: i + 32 for i in range(65, 91)}
-
-
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Flat blocks in page order: text, words, link density, apart, main, heading."""
     out: list[tuple[str, int, float, int, int, int]] = []
