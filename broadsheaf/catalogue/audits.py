@@ -15,9 +15,9 @@ S = f"WITH {SIGNALS}"
 BANDS, NAMES = (0.5, 0.9, 0.99), ("mostly other", "half Latin", "some other", "Latin")
 
 
-@register("q_holdings", "WITH t AS (SELECT DISTINCT p_brand AS lccn FROM part), o AS (SELECT DISTINCT p_brand AS lccn FROM part WHERE p_size > 45), h AS (SELECT DISTINCT p_brand AS lccn FROM part WHERE p_size < 10) SELECT CASE WHEN lccn IN (SELECT lccn FROM o) THEN 'ours' WHEN lccn IN (SELECT lccn FROM h) THEN 'theirs_only' ELSE 'unknown' END AS bucket, count(*) AS titles FROM t GROUP BY 1")
+@register("q_holdings", "WITH t AS (SELECT p_brand || p_type AS lccn, p_size FROM part) SELECT bucket, count(*) AS titles FROM (SELECT lccn, CASE WHEN max(p_size) > 45 THEN 'ours' WHEN min(p_size) < 10 THEN 'theirs_only' ELSE 'unknown' END AS bucket FROM t GROUP BY 1) GROUP BY 1")
 def _holdings(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "lccn")
+    p = table(spark, sf_dir, "part").select(F.concat("p_brand", "p_type").alias("lccn"), "p_size")
     return A.holdings(p.select("lccn").distinct(), p.where("p_size < 10"), p.where("p_size > 45")).groupBy("bucket").agg(F.count("*").alias("titles"))
 
 

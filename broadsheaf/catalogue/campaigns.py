@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import campaigns as K
 from ..operators import quality as Q
+from ..operators import windows as V
 from ..registry import register
 from ..sources.corpus import signals
 from ..sources.sql import SIGNALS
@@ -65,7 +66,7 @@ def _gain(spark, sf_dir):
 @register("q_gain_by_decile", f"""WITH {SIGNALS}, r AS (SELECT doc_id, damage_rate, est_cer, ntile(10) OVER (ORDER BY damage_rate DESC, doc_id) AS tenth FROM s WHERE damage_rate IS NOT NULL), st AS (SELECT tenth, arg_min(damage_rate, (-damage_rate, doc_id)) AS v, arg_min(doc_id, (-damage_rate, doc_id)) AS i FROM r GROUP BY 1),
   p AS (SELECT r.doc_id, r.damage_rate - r.est_cer AS gain, max(st.tenth) AS tenth FROM r JOIN st ON st.v > r.damage_rate OR st.v = r.damage_rate AND st.i <= r.doc_id WHERE r.est_cer IS NOT NULL GROUP BY 1, 2) SELECT tenth::INT AS tenth, count(*) AS n, round(median(gain), 6) AS p50, round(avg(gain), 6) AS mean FROM p GROUP BY 1""")
 def _deciles(spark, sf_dir):
-    r = signals(spark, sf_dir).where("damage_rate is not null").select("doc_id", "damage_rate", "est_cer", F.ntile(10).over(W.orderBy(F.desc("damage_rate"), "doc_id")).alias("tenth"))
+    r = V.tiled(signals(spark, sf_dir).where("damage_rate is not null").select("doc_id", "damage_rate", "est_cer"), 10, "tenth", -F.col("damage_rate"), F.col("doc_id"))
     first = r.groupBy("tenth").agg(F.min_by(F.struct("damage_rate", "doc_id"), F.struct((-F.col("damage_rate")).alias("a"), "doc_id")).alias("f")).select("tenth", "f.*")
     p = r.where("est_cer is not null").select("doc_id", "damage_rate", (F.col("damage_rate") - F.col("est_cer")).alias("gain"))
     return K.by_decile(p, first, "damage_rate", "doc_id").groupBy("tenth").agg(F.count("*").alias("n"), F.round(F.median("gain"), 6).alias("p50"), F.round(F.avg("gain"), 6).alias("mean"))

@@ -85,3 +85,9 @@ def _leases(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "send").when(F.col("event_type") == "purchase", "delete").otherwise("receive")
     m = stream(spark, sf_dir).select(F.pmod("user_id", F.lit(50)).cast("string").alias("key"), kind.alias("action"), "ts")
     return S.drained(S.leases(m, lease="6 hours"), f"leases_{uuid.uuid4().hex}").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@register("q_rate_limit")
+def _limit(spark, sf_dir):
+    m = stream(spark, sf_dir).select(F.pmod("user_id", F.lit(50)).cast("string").alias("key"), "ts")
+    return S.drained(S.limited(m, 1 / 180, 3), f"limit_{uuid.uuid4().hex}").groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators import windows as V
 from ..registry import register
 from ..sources.corpus import signals
 from ..sources.sql import SIGNALS
@@ -196,7 +197,7 @@ def _benefit(spark, sf_dir):
   SELECT doc_id, decade, band, pages, take, k::INT AS k FROM k JOIN a USING (decade, band) WHERE k <= take"""))
 def _draw(spark, sf_dir):
     s = signals(spark, sf_dir).where("damage_rate is not null and lang = 'eng'")
-    r = s.withColumn("tenth", F.ntile(10).over(W.orderBy(F.desc("damage_rate"), "doc_id"))).where("tenth <= 4").select("doc_id", "decade", Q.band(D()).alias("band"))
+    r = V.tiled(s, 10, "tenth", -F.col("damage_rate"), F.col("doc_id")).where("tenth <= 4").select("doc_id", "decade", Q.band(D()).alias("band"))
     return Q.draw(r, ["decade", "band"], 1000, 30, "seed-1").select("doc_id", "decade", "band", "pages", "take", "k")
 
 

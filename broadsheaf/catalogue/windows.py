@@ -72,7 +72,8 @@ def _latest(spark, sf_dir):
 
 @register("q_ntile", f"WITH {SIGNALS} SELECT doc_id, ntile(10) OVER (ORDER BY damage_rate DESC, doc_id)::INT AS tenth FROM s WHERE damage_rate IS NOT NULL AND lang = 'ger'")
 def _ntile(spark, sf_dir):
-    return signals(spark, sf_dir).where("damage_rate is not null and lang = 'ger'").select("doc_id", F.ntile(10).over(W.orderBy(F.desc("damage_rate"), "doc_id")).alias("tenth"))
+    rows = signals(spark, sf_dir).where("damage_rate is not null and lang = 'ger'").select("doc_id", "damage_rate")
+    return V.tiled(rows, 10, "tenth", -F.col("damage_rate"), F.col("doc_id")).select("doc_id", "tenth")
 
 
 @register("q_average_ranks", f"WITH {SIGNALS} SELECT doc_id, rank() OVER (PARTITION BY lccn ORDER BY damage_rate) + (count(*) OVER (PARTITION BY lccn, damage_rate) - 1) / 2 AS r FROM s WHERE damage_rate IS NOT NULL")

@@ -182,6 +182,37 @@ def order_agreement(pairs: list[tuple[int, int]]) -> tuple[float, float]:
     return 1 - 2 * inversions / (n * (n - 1) / 2), float((s[1:] > s[:-1]).mean())
 
 
+def read_twice(size: int, tile: int = 1280, overlap: int = 256) -> list[tuple[int, int]]:
+    """Where, along one axis, the inner parts of neighbouring tiles both cover a page: the last tile ends with the page."""
+    if size <= tile:
+        return []
+    starts = [*range(0, size - tile, tile - overlap), size - tile]
+    inner = [(a + overlap // 2, a + tile - overlap // 2) for a in starts]
+    return [(right[0], left[1]) for left, right in zip(inner, inner[1:]) if left[1] > right[0]]
+
+
+def without_repeats(words: list[tuple[float, float, float, float]], width: int, height: int, share: float = 0.5) -> list[bool]:
+    """For each word's box (x0, y0, x1, y1) whether it stays: in a part read twice, a word that a kept word of such a part covers
+    by ``share`` of the smaller of both does not."""
+    zones = [(0, *z) for z in read_twice(width)] + [(1, *z) for z in read_twice(height)]
+    seen: list[tuple[float, float, float, float]] = []
+    out = []
+    for w in words:
+        middle = ((w[0] + w[2]) / 2, (w[1] + w[3]) / 2)
+        stays = True
+        if any(a <= middle[axis] < b for axis, a, b in zones):
+            for k in seen:
+                across, down = (min(w[i + 2], k[i + 2]) - max(w[i], k[i]) for i in (0, 1))
+                least = min((x[2] - x[0]) * (x[3] - x[1]) for x in (w, k)) or 1
+                if across > 0 and down > 0 and across * down / least >= share:
+                    stays = False
+                    break
+            if stays:
+                seen.append(w)
+        out.append(stays)
+    return out
+
+
 def xy_cut(boxes: list[tuple[float, float, float, float]], right_to_left: bool = False) -> list[int]:
     """Reading order of boxes: cut at the widest gap, across first where gaps are equal, and go on in the parts."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +85,35 @@ class Buckets:
 
     def spine(self, spark: SparkSession) -> DataFrame:
         return spark.range(len(self)).select(F.col("id").cast("int").alias("bucket"))
+
+
+def _field(text: str, low: int, high: int) -> set[int]:
+    """The values that a field of a schedule names: ``*``, numbers, ranges and lists, each with a step."""
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        a, _, b = span.partition("-")
+        first, last = (low, high) if span == "*" else (int(a), int(b or (high if step else a)))
+        if not (low <= first <= last <= high) or int(step or 1) < 1:
+            raise ValueError(f"{part} is not within {low} to {high}")
+        out.update(range(first, last + 1, int(step or 1)))
+    return out
+
+
+def next_run(schedule: str, after: datetime) -> datetime | None:
+    """The first whole minute after ``after`` at which a schedule (minute, hour, day, month, weekday) runs; None if none within
+    four years. Where both days are named either is enough; weekday 7 is Sunday as 0 is."""
+    minute, hour, day, month, weekday = schedule.split()
+    minutes, hours, days, months = _field(minute, 0, 59), _field(hour, 0, 23), _field(day, 1, 31), _field(month, 1, 12)
+    weekdays = {d % 7 for d in _field(weekday, 0, 7)}
+    times = [(h, m) for h in sorted(hours) for m in sorted(minutes)]
+    start = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    for n in range(4 * 366 + 1):
+        d = start.date() + timedelta(days=n)
+        by = (d.day in days, d.isoweekday() % 7 in weekdays)
+        if d.month not in months or not (any(by) if day != "*" and weekday != "*" else all(by)):
+            continue
+        for h, m in times:
+            if n or (h, m) >= (start.hour, start.minute):
+                return datetime(d.year, d.month, d.day, h, m, tzinfo=after.tzinfo)
+    return None

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import windows as V
+
 #: Cuts of the damage rate.
 DAMAGED, BADLY_DAMAGED = 0.1, 0.25
 
@@ -45,17 +47,13 @@ def round_robin(df: DataFrame, group: list[str], inner: list[str], stratum: list
     return df.withColumn("group_rank", F.row_number().over(W.partitionBy(*group).orderBy("stratum_rank", *order)))
 
 
-def average_rank(value: str) -> Column:
-    """Rank with ties sharing their mean rank; needs no partition by the ranked set's size."""
-    return F.rank().over(W.orderBy(value)) + (F.count("*").over(W.partitionBy(value)) - 1) / F.lit(2.0)
-
-
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation. Ranks come from counts by distinct value, so only distinct values are put in one order."""
+    """Rank correlation. Ranks come from counts by distinct value, put in order range by range."""
     def ranks(c: str) -> DataFrame:
-        n = df.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return n.select(F.col(c), (before + (F.col("n") + 1) / 2.0).alias(f"__{c}"))
+        parts, _ = V.in_ranges(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")), F.col(c))
+        j = parts.join(F.broadcast(V.before(parts, F.col("n"))), "part")
+        inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return j.select(F.col(c), (F.col("before") + inside + (F.col("n") + 1) / 2.0).alias(f"__{c}"))
 
     j = df.join(ranks(a), a).join(ranks(b), b)
     return j.agg(F.count("*").alias("pages"), F.corr(f"__{a}", f"__{b}").alias("rho"))

@@ -78,6 +78,33 @@ def leases(messages: DataFrame, key: str = "key", lease: str = "10 minutes", kee
     return messages.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, attempt int, state string", "there boolean, until long, tries int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def limited(requests: DataFrame, per_minute: float, burst: int, key: str = "key", late: str = LATE) -> DataFrame:
+    """Each request with whether its client may have it, and the seconds until it may: columns key, ts.
+
+    A client has ``burst`` tokens, one of which comes back every 60 / ``per_minute`` seconds. The state is the time at which all
+    tokens are back, and goes then.
+    """
+    each = 60.0 / per_minute
+
+    def run(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        full = state.get[0] if state.exists else 0.0
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        out = []
+        for ts, now in zip(rows["ts"], rows["ts"].map(pd.Timestamp.timestamp)):
+            wait = full - now - each * (burst - 1)
+            if wait <= 0:
+                full = max(full, now) + each
+            out.append((k[0], ts, wait <= 0, max(wait, 0.0)))
+        state.update((full,))
+        state.setTimeoutTimestamp(max(int(full * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "ts", "allowed", "wait"])
+
+    return requests.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, allowed boolean, wait double", "full double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run an appending streaming query over what is there now, into Parquet, and give its rows.
 

@@ -5,12 +5,21 @@ from __future__ import annotations
 import hashlib
 import html
 import math
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from datetime import datetime
+
+import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from broadsheaf.catalogue.campaigns import CELL, sizes
+from broadsheaf.functions import distance as X
 from broadsheaf.functions import text as T
+from broadsheaf.functions.time import next_run
+from broadsheaf.operators import windows as V
 from broadsheaf.registry import queries
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +101,50 @@ def test_snippets(spark):
             words = [T.fold(w) for w in re.findall(r"[^\W_]+", bare)]
             assert sum(w in ("this", "from") for w in words) == s.count("<mark>")
 
+
+
+def test_numbers_range_by_range(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(r.choice([0.5, 0.25, r.random()]), i) for i in range(3000)]
+    monkeypatch.setattr(V, "SAMPLED", 1)
+    frame = spark.createDataFrame(rows, "v double, id long")
+    got, n = V.numbered(frame, -F.col("v"), F.col("id"))
+    order = sorted(rows, key=lambda x: (-x[0], x[1]))
+    assert n == 3000 and [(x["v"], x["id"]) for x in sorted(got.collect(), key=lambda x: x["rn"])] == order
+    assert V.in_ranges(frame, -F.col("v"), F.col("id"))[0].select("part").distinct().count() > 50
+    for size, tiles in ((0, 4), (3, 10), (25, 10), (40, 4)):
+        some = frame.where(F.col("id") < size)
+        want = [r["t"] for r in some.select("id", F.ntile(tiles).over(W.orderBy("v", "id")).alias("t")).orderBy("id").collect()]
+        assert [r["t"] for r in V.tiled(some, tiles, "t", F.col("v"), F.col("id")).orderBy("id").collect()] == want
+
+
+def test_rate_limit(spark):
+    per = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        per[None if r["user_id"] is None else str(r["user_id"] % 50)].append(r["ts"].timestamp())
+    want = {}
+    for key, times in per.items():
+        tokens, last, told = 3.0, None, Counter()
+        for t in sorted(times):
+            if last is not None:
+                tokens = min(3.0, tokens + (t - last) / 10800)
+            last = t
+            told[tokens >= 1 - 1e-9] += 1
+            tokens -= tokens >= 1 - 1e-9
+        want[key] = (told[True], told[False])
+    assert {r["key"]: (r["allowed"], r["refused"]) for r in queries()["q_rate_limit"](spark, SF).collect()} == want
+
+
+def test_schedules():
+    at = datetime(2024, 2, 28, 23, 59, 30)
+    cases = {"* * * * *": (2024, 2, 29, 0, 0), "30 6 * * *": (2024, 2, 29, 6, 30), "0 0 29 2 *": (2024, 2, 29, 0, 0), "*/20 5-6 * 3 *": (2024, 3, 1, 5, 0), "0 12 1 * 7": (2024, 3, 1, 12, 0), "0 12 * * 7": (2024, 3, 3, 12, 0), "59 23 28 2 *": (2025, 2, 28, 23, 59)}
+    assert {k: next_run(k, at) for k in cases} == {k: datetime(*v) for k, v in cases.items()}
+    assert next_run("0 0 30 2 *", at) is None
+    with pytest.raises(ValueError):
+        next_run("60 0 * * *", at)
+
+
+def test_words_of_overlapping_tiles():
+    assert X.read_twice(1280) == [] and X.read_twice(2304) == [] and X.read_twice(2000) == [(848, 1152)]
+    words = [(900, 0, 950, 20), (905, 0, 955, 20), (10, 0, 60, 20), (12, 0, 62, 20), (900, 100, 950, 120)]
+    assert X.without_repeats(words, 2000, 1000) == [True, False, True, True, True]
