@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Frequent function words by language.
+#: Frequent function words by language: short lists of our own.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than been its who now people my made over did down only way find use may water long little very after words called just where most know".split(),
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la ou avec son aux d cette ces sa ses mais comme on tout nous sa fait leur bien deux elle si leurs y dont meme sans peu ainsi".split(),

@@ -42,7 +42,7 @@ def draw(pages: DataFrame, takes: DataFrame, strata: list[str], seed: str, id_co
     """The ``take`` pages of each stratum with the lowest seeded hashes."""
     h = F.sha2(F.concat(F.lit(seed), F.lit("ocr"), F.col(id_col).cast("string")), 256)
     p = pages.withColumn("h", h).withColumn("k", F.row_number().over(W.partitionBy(*strata).orderBy("h", id_col)))
-    return p.join(F.broadcast(takes), strata).where("k <= take").drop("h")
+    return p.join(takes, strata).where("k <= take").drop("h")
 
 
 def weights(picked: DataFrame, sizes: DataFrame, cell: list[str], title: str, cell_pages: int) -> DataFrame:

@@ -50,10 +50,9 @@ def round_robin(df: DataFrame, group: list[str], inner: list[str], stratum: list
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation. Ranks come from counts by distinct value, put in order range by range."""
     def ranks(c: str) -> DataFrame:
-        parts, _ = V.in_ranges(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")), F.col(c))
-        j = parts.join(F.broadcast(V.before(parts, F.col("n"))), "part")
+        parts = V.in_ranges(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")), F.col(c))
         inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return j.select(F.col(c), (F.col("before") + inside + (F.col("n") + 1) / 2.0).alias(f"__{c}"))
+        return parts.select(F.col(c), (V.before(parts, F.col("n"))[0] + inside + (F.col("n") + 1) / 2.0).alias(f"__{c}"))
 
     j = df.join(ranks(a), a).join(ranks(b), b)
     return j.agg(F.count("*").alias("pages"), F.corr(f"__{a}", f"__{b}").alias("rho"))
@@ -73,4 +72,4 @@ def draw(pool: DataFrame, strata: list[str], n: int, floor: int, seed: str, id_c
     """A stratified sample in a repeatable order: the lowest seeded hashes of each stratum."""
     sizes = proportional(pool.groupBy(*strata).agg(F.count("*").alias("pages")), n, floor)
     ranked = pool.withColumn("k", F.row_number().over(W.partitionBy(*strata).orderBy(seeded(seed, id_col), id_col)))
-    return ranked.join(F.broadcast(sizes), strata).where("k <= take")
+    return ranked.join(sizes, strata).where("k <= take")

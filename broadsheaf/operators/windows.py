@@ -38,42 +38,46 @@ def share(value: str, *keys: str) -> Column:
     return F.col(value) / F.sum(value).over(W.partitionBy(*keys))
 
 
-#: Ranges are RANGES times RANGES; their cuts come from about SAMPLED rows for each.
+#: Ranges are RANGES times RANGES; their cuts come from SAMPLED rows for each.
 RANGES, SAMPLED = 16, 16
 
 
-def in_ranges(rows: DataFrame, *order: Column) -> tuple[DataFrame, int]:
-    """``rows`` with ``part``, the number of a range of the order (numbers or strings, rising), and how many rows there are.
+def in_ranges(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``part``, the number of a range of the order (numbers or strings, rising).
 
-    The cuts are rows with certain hashes, a few thousand at most on average; they only decide where ranges begin, so every row
-    keeps its place. Rows are equal in all of ``order`` only within one range.
+    The cuts are taken from the rows with the least hashes, a few thousand at most; they only decide where ranges begin, so every
+    row keeps its place. Rows are equal in all of ``order`` only within one range.
     """
-    key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (RANGES * RANGES * SAMPLED)))) == 0)
-    cuts = sorted(tuple(r) for r in some.select(*(c.alias(f"k{i}") for i, c in enumerate(order))).collect())
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    some = rows.select(*keys).orderBy(F.xxhash64(*(f"k{i}" for i in range(len(keys))))).limit(RANGES * RANGES * SAMPLED)
+    cuts = sorted({tuple(r) for r in some.collect()})
     cuts = cuts[:: max(1, len(cuts) // (RANGES * RANGES))][1:]
     if not cuts:
-        return rows.withColumn("part", F.lit(0)), n
+        return rows.withColumn("part", F.lit(0))
+    key = F.struct(*keys)
     literal = lambda c: F.struct(*(F.lit(v).alias(f"k{i}") for i, v in enumerate(c)))
     blocks = [cuts[i : i + RANGES] for i in range(0, len(cuts), RANGES)]
     below = lambda a: F.size(F.filter(a, lambda c: c <= key))
     block = below(F.array(*(literal(b[0]) for b in blocks[1:]))) if len(blocks) > 1 else F.lit(0)
     placed = rows.withColumn("part", block)
-    return placed.withColumn("part", F.col("part") * (RANGES + 1) + below(F.get(F.array(*(F.array(*map(literal, b)) for b in blocks)), F.col("part")))), n
+    return placed.withColumn("part", F.col("part") * (RANGES + 1) + below(F.get(F.array(*(F.array(*map(literal, b)) for b in blocks)), F.col("part"))))
 
 
-def before(parts: DataFrame, weight: Column) -> DataFrame:
-    """Each range with the sum of the ranges before it: a few hundred rows."""
-    sums = parts.groupBy("part").agg(F.sum(weight).alias("n"))
-    return sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+def before(parts: DataFrame, weight: Column) -> tuple[Column, int]:
+    """For each row the sum of the ranges before its own, and the sum of all; a few hundred sums are gathered."""
+    sums = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.sum(weight).alias("n")).collect()}
+    known, total = [], 0
+    for i in range(max(sums, default=0) + 1):
+        known.append(total)
+        total += sums.get(i, 0)
+    return F.get(F.array(*(F.lit(x).cast("long") for x in known)), F.col("part")), total
 
 
 def numbered(rows: DataFrame, *order: Column) -> tuple[DataFrame, int]:
     """``rows`` with their number ``rn`` (from 1) in the order, sorted range by range and never in one task; and how many there are."""
-    parts, n = in_ranges(rows, *order)
-    j = parts.join(F.broadcast(before(parts, F.lit(1))), "part")
-    return j.withColumn("rn", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(*order))).drop("part", "before"), n
+    parts = in_ranges(rows, *order)
+    base, n = before(parts, F.lit(1))
+    return parts.withColumn("rn", base + F.row_number().over(W.partitionBy("part").orderBy(*order))).drop("part"), n
 
 
 def tiled(rows: DataFrame, tiles: int, column: str, *order: Column) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import time as D
 
-#: Bytes up to which a dimension is broadcast; beyond it joins are shuffled.
-BROADCAST_ROWS = 100_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
