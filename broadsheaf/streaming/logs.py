@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -116,7 +117,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="broadsheaf-stream-")
-    path = f"{root.rstrip('/')}/{name}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"  # each run has a place of its own
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
