@@ -1,3 +1,3 @@
 """Registered queries, by theme; importing this package registers all of them."""
 
-from . import audits, campaigns, extras, logs, pipeline, quality, rates, scalars, search, windows  # noqa: F401
+from . import audits, campaigns, extras, logs, pipeline, quality, rates, readings, scalars, search, windows  # noqa: F401

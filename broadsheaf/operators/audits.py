@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.distance import iou, match_boxes
+
 
 def banded(value: Column, edges: tuple[float, ...], names: tuple[str, ...]) -> Column:
     """The name of the first edge above a value, the last name beyond all; null stays null."""
@@ -123,3 +126,84 @@ def reader_report(sample: DataFrame, readings: DataFrame, page: str, reader: str
     j = readers.join(got, reader, "left").crossJoin(F.broadcast(want))  # one row of totals
     zero = F.lit(0).cast("long")
     return j.select(reader, F.coalesce("pages", zero).alias("pages"), (F.col("sampled") - F.coalesce("pages", zero)).alias("missing"), "mean", "median")
+
+
+def year_recall(pages: DataFrame, terms: list[str], ours: str, theirs: str, year: str = "year") -> DataFrame:
+    """Per year and word the pages that have it in our reading, in another's, in either, only in the other's, and that as a share of ours.
+
+    Both readings are columns of folded words between blanks; every word is counted in one pass.
+    """
+    has = lambda c, w: F.coalesce(F.col(c).contains(f" {w} "), F.lit(False))
+    counts = [F.count_if(x).alias(f"{w}|{k}") for w in terms for k, x in (("a", has(ours, w)), ("b", has(theirs, w)), ("e", has(ours, w) | has(theirs, w)), ("o", has(theirs, w) & ~has(ours, w)))]
+    told = F.array(*(F.struct(F.lit(w).alias("term"), *(F.col(f"`{w}|{k}`").alias(n) for k, n in (("a", "ours"), ("b", "theirs"), ("e", "either"), ("o", "only_theirs")))) for w in terms))
+    rows = pages.groupBy(year).agg(*counts).select(year, F.explode(told).alias("t")).select(year, "t.*")
+    return rows.withColumn("gain", F.when(F.col("ours") > 0, F.col("only_theirs") / F.col("ours")))
+
+
+def year_summary(ours: DataFrame, theirs: DataFrame, key: str, measures: list[str], year: str = "year") -> DataFrame:
+    """Per year our pages, those the other collection has too, their share, and of those the median of each measure in both and the
+    ratio of its sums. Measures have one name in both."""
+    other = theirs.select(key, F.lit(True).alias("shared"), *(F.col(m).alias(f"{m}_theirs") for m in measures))
+    j = ours.select(key, year, *(F.col(m).alias(f"{m}_ours") for m in measures)).join(other, key, "left")
+    held = lambda c: F.when(F.col("shared"), F.col(c))
+    medians = [F.median(held(f"{m}_{side}")).alias(f"{m}_{side}") for m in measures for side in ("ours", "theirs")]
+    ratios = [F.try_divide(F.sum(held(f"{m}_theirs")), F.sum(held(f"{m}_ours"))).alias(f"{m}_ratio") for m in measures]
+    return j.groupBy(year).agg(F.count("*").alias("pages"), F.count("shared").alias("shared"), (F.count("shared") / F.count("*")).alias("share"), *medians, *ratios)
+
+
+def write_once(before: DataFrame, after: DataFrame, key: str, released: str) -> DataFrame:
+    """Changes a write-once list does not allow: rows that are gone, that were released before and changed, or of which anything but
+    the release changed. ``key`` is unique in both."""
+    rest = [c for c in before.columns if c not in (key, released)]
+    old = before.select(F.col(key), F.lit(True).alias("was"), F.struct(*rest).alias("x"), F.col(released).alias("r"))
+    new = after.select(F.col(key), F.lit(True).alias("is"), F.struct(*rest).alias("y"), F.col(released).alias("s"))
+    j = old.join(new, key, "left")
+    same, kept = F.col("x").eqNullSafe(F.col("y")), F.col("r").eqNullSafe(F.col("s"))
+    why = F.when(F.col("is").isNull(), "deleted").when(F.col("r").isNotNull() & ~(same & kept), "already released").when(~same, "changed")
+    return j.select(key, why.alias("why")).where("why is not null")
+
+
+def rewritten_crop(url: Column) -> Column:
+    """A picture's address on the server of tiles for one on the older image server; null for any other shape."""
+    part, cut = r"[A-Za-z0-9_.-]{1,128}", "%2[Ff]"
+    number = r"(?=[0-9.])[0-9]*\.?[0-9]*"
+    # Both servers and the shapes of their addresses
+    shape = (
+        rf"^https://chroniclingamerica\.loc\.gov/iiif/2/(([A-Za-z0-9.-]+)(?:_[A-Za-z0-9.-]+)+){cut}data{cut}([A-Za-z]{{0,3}}(?:[0-9]{{8}}|[0-9]{{10}})){cut}({part}(?:{cut}{part})?){cut}"
+        rf"([0-9]{{8}}(?:0[1-9]|[1-9][0-9])){cut}([0-9]{{4,8}})\.jp2/(pct:{number}(?:,{number}){{3}}/[A-Za-z0-9:,.!]+/[A-Za-z0-9:,.!]+/[A-Za-z0-9:,.!]*\.jpg)$"
+    )
+    at = lambda i: F.regexp_extract(url, shape, i)
+    reel = F.regexp_replace(at(4), cut, ":")
+    day = F.try_to_timestamp(F.substring(at(5), 1, 8), F.lit("yyyyMMdd"))
+    new = F.concat(F.lit("https://tile.loc.gov/image-services/iiif/service:ndnp:"), at(2), F.lit(":batch_"), at(1), F.lit(":data:"), at(3), F.lit(":"), reel, F.lit(":"), at(5), F.lit(":"), at(6), F.lit("/"), at(7))
+    return F.when(url.rlike(shape) & day.isNotNull() & ~F.concat(F.lit(":"), reel, F.lit(":")).rlike(r":\.{1,2}:"), new)
+
+
+def picture_agreement(pages: DataFrame, gold: str, found: str, typed: bool = True, least: float = 0.5) -> DataFrame:
+    """One row over pages with boxes of two sorts: ``gold`` has arrays of kind, x, y, w, h, ``found`` of the same and score.
+
+    Found boxes by score take the free box they cover best; ``mean_best`` is over the best cover of every gold box. Shares of
+    nothing are null; a null array is empty.
+    """
+
+    def run(wanted: pd.Series, had: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g, f in zip(wanted, had):
+            g, f = ([] if v is None else list(v) for v in (g, f))
+            box = lambda b: (b["x"], b["y"], b["w"], b["h"])
+            kinds = sorted({b["kind"] for b in g}, key=str) if typed else [None]
+            best = matched = 0.0
+            for k in kinds:
+                mine, other = ([b for b in v if not typed or b["kind"] == k] for v in (g, f))
+                best += sum(max((iou(box(b), box(o)) for o in other), default=0.0) for b in mine)
+                matched += len(match_boxes([box(b) for b in mine], [(o["score"], box(o)) for o in other], least))
+            rows.append((len(g), len(f), int(matched), best))
+        return pd.DataFrame(rows, columns=["n_gold", "n_found", "n_matched", "best"])
+
+    per = pages.select(F.pandas_udf(run, "n_gold long, n_found long, n_matched long, best double")(gold, found).alias("x")).select("x.*")
+    zero = F.lit(0).cast("long")
+    total = per.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("n_gold", "n_found", "n_matched")), F.sum("best").alias("best"))
+    return total.select(
+        "n_gold", "n_found", "n_matched", (F.col("n_gold") - F.col("n_matched")).alias("lost"), (F.col("n_found") - F.col("n_matched")).alias("surplus"),
+        F.try_divide("best", "n_gold").alias("mean_best"), F.try_divide("n_matched", "n_found").alias("precision"), F.try_divide("n_matched", "n_gold").alias("recall"),
+    )

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scripts import is_japanese
 from ..functions.text import tokenise
 
 MAX_QUERY, MAX_SLOP, MIN_PREFIX, MAX_OF, MAX_SPELLINGS = 256, 20, 5, 6, 32
@@ -274,3 +275,32 @@ def words_of(node) -> set[str]:
 
 def to_column(query: str, words: str | Column = "words", mode: str | None = None, near_by: int = 5) -> Column:
     return matches(parse(query, mode, near_by), F.col(words) if isinstance(words, str) else words)
+
+
+def language(node, english: set[str], shared: set[str]) -> str | None:
+    """jpn for words with Japanese characters only, eng for a query that matches mostly English pages, else None.
+
+    ``english`` and ``shared`` (English and another language's) are lists of folded words. What must all hold is English if a part
+    is and the rest is shared or digits; what may hold, if every part is. Wildcards and unknown words can be anything.
+    """
+    words = words_of(node)
+    if words and all(is_japanese(c) for w in words for c in w):
+        return "jpn"
+
+    def word(w: str) -> bool | None:
+        return True if w in english and w not in shared else None if w in shared or w.isascii() and w.isdigit() else False
+
+    def read(x) -> bool | None:
+        """True: English; None: told by the rest; False: cannot be read."""
+        if isinstance(x, Not):
+            return None
+        if isinstance(x, Term):
+            return False if x.wild else word(x.text)
+        parts = [word(w) for w in x.terms] if isinstance(x, Phrase) else [read(y) for y in x.of]
+        if False in parts:
+            return False
+        if isinstance(x, Phrase | And):
+            return True if True in parts else None
+        return None if None in parts else True
+
+    return "eng" if read(node) else None

@@ -67,3 +67,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * 40).cast("long").alias("words"), (F.col("l_quantity") * 3).cast("long").alias("den"), F.when(F.pmod(key, F.lit(7)) == 0, F.pmod(line, F.lit(3))).otherwise(0).cast("long").alias("ocr_runs"),
         (F.pmod(key + line, F.lit(4)) == 0).alias("has_image_features"), F.round(F.col("l_tax"), 6).alias("garbage_share"), F.round(F.col("l_discount"), 6).alias("function_share"),
     )
+
+
+def create_views(spark: SparkSession, **frames: DataFrame) -> None:
+    """Names for frames in SQL; a name is given anew where it exists. What is to be kept is written with ``curate.publish``."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)

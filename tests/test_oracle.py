@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 BY_HAND = {
     "q_pair_metrics": "test_whole_texts.py::test_edits_late_in_a_text", "q_hat3": "test_whole_texts.py::test_edits_late_in_a_text", "q_skew_scores": "test_skew.py::test_queries_against_the_model",
     "q_skew_states": "test_skew.py::test_queries_against_the_model", "q_allocate_steps": "test_by_hand.py::test_allocate_steps", "q_stream_leases": "test_by_hand.py::test_leases", "q_rate_limit": "test_by_hand.py::test_rate_limit", "q_normalised": "test_by_hand.py::test_normalised",
-    "q_snippets": "test_by_hand.py::test_snippets",
+    "q_snippets": "test_by_hand.py::test_snippets", "q_consensus": "test_readings.py::test_consensus_query", "q_confusions": "test_readings.py::test_consensus_query", "q_text_agreement": "test_readings.py::test_agreement_query",
 }
 
 
