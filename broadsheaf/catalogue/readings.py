@@ -9,7 +9,7 @@ from ..functions import readings as R
 from ..functions import scripts as S
 from ..operators import audits as A
 from ..registry import register
-from ..sources.corpus import create_views, signals, table, text_pages
+from ..sources.corpus import create_views, dealt, signals, table, text_pages
 from ..sources.sql import PAGES, SIGNALS, TOKENS
 
 TOP = 50
@@ -17,7 +17,7 @@ TOP = 50
 
 def _three(spark, sf_dir):
     """Whole texts as three readers have them, with what they agree on."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
     return d.select("doc_id", R.consensus_of(F.col("text"), F.col("b"), F.col("c")).alias("x"))
 
 
@@ -37,7 +37,7 @@ def _confusions(spark, sf_dir):
 
 @register("q_text_agreement")
 def _agreement(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"))
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"))
     return d.select("doc_id", R.agreement_of(F.col("a"), F.col("b")).alias("x")).select("doc_id", "x.*")
 
 

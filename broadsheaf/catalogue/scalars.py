@@ -10,7 +10,7 @@ from ..functions import language as G
 from ..functions import text as T
 from ..functions import time as D
 from ..registry import register
-from ..sources.corpus import fact_pages, table, text_pages
+from ..sources.corpus import dealt, fact_pages, table, text_pages
 from ..sources.sql import FACTS, PAGES
 
 
@@ -68,14 +68,14 @@ def _batches(spark, sf_dir):
 # both compare whole texts, which the SQL engine is too slow for: tests by brute force
 @register("q_pair_metrics")
 def _pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"))
+    p = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"))
     p = p.withColumn("e", X.whole_levenshtein(F.col("a"), F.col("b")))
     return p.select("doc_id", *(F.round(c, 9).alias(n) for n, c in X.pair_metrics(F.col("a"), F.col("b"), F.col("e")).items()))
 
 
 @register("q_hat3")
 def _hat(spark, sf_dir):
-    p = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
+    p = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
     n = F.greatest(F.length("a"), F.lit(1))
     d = p.select("doc_id", *((X.whole_levenshtein(F.col(x), F.col(y)) / n).alias(x + y) for x, y in ("ab", "ac", "bc")))
     return d.select("doc_id", *(F.round(c, 9).alias(k) for k, c in X.hat3(F.col("ab"), F.col("ac"), F.col("bc")).items()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 from itertools import combinations, groupby
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .text import normalise
 
-#: Rows of an alignment's table that are made again at a time.
-ROWS = 256
+#: Rows of an alignment's table that are made at a time: as many as have so many cells, this many at least.
+CELLS, ROWS = 4_000_000, 256
 #: Words in a chunk, words beside its place, an anchor's least letters and most places, anchors that must agree and
 #: within how many words, errors above which a chunk is halved or has no place, words of the smallest half.
 CHUNK, BESIDE, LETTERS, PLACES, ANCHORS, BAND, HALVE, LOST, LEAST = 40, 12, 4, 2, 2, 6, 0.2, 0.5, 10
@@ -23,7 +24,7 @@ CHUNK, BESIDE, LETTERS, PLACES, ANCHORS, BAND, HALVE, LOST, LEAST = 40, 12, 4, 2
 def steps(a, b) -> list[tuple[str, int, int]]:
     """What ``distance.align`` gives, for texts of any length.
 
-    Every 256th row of the table is kept and the rows between are made again on the way back, so memory grows with the root.
+    Every so many rows one is kept, and the rows between are made on the way back, so a long text's whole table is never held.
     """
     codes: dict = {}
     x, y = (np.array([codes.setdefault(v, len(codes)) for v in t], dtype=np.int64) for t in (a, b))
@@ -37,16 +38,17 @@ def steps(a, b) -> list[tuple[str, int, int]]:
         best = np.minimum(row[1:] + 1, row[:-1] + (y != x[k]))
         return np.minimum.accumulate(np.concatenate([[row[0] + 1], best]) - place) + place
 
-    marks, row = [], place
-    for k in range(i):
-        if k % ROWS == 0:
-            marks.append(row)
+    size = max(ROWS, CELLS // (j + 1))
+    marks, row = [place], place
+    for k in range((i - 1) // size * size if i else 0):
         row = below(row, k)
+        if (k + 1) % size == 0:
+            marks.append(row)
     top, rows = i + 1, []
     while i or j:
         if i and i <= top:
-            top = (i - 1) // ROWS * ROWS
-            rows = [marks[top // ROWS]]
+            top = (i - 1) // size * size
+            rows = [marks[top // size]]
             for k in range(top, i):
                 rows.append(below(rows[-1], k))
         if i and j and rows[i - top][j] == rows[i - top - 1][j - 1] + (x[i - 1] != y[j - 1]):
@@ -102,7 +104,8 @@ def consensus(readings: list[list[str]]) -> tuple[list[dict[int, int]], list[tup
     return list(shared.values()), sorted(told)
 
 
-def confusions(theirs: str, own: str) -> list[tuple[str, str, str]]:
+@lru_cache(100_000)
+def confusions(theirs: str, own: str) -> tuple[tuple[str, str, str], ...]:
     """Runs in which a word differs from another (ins, del or sub; what it should be; what it is)."""
     out = []
     for same, run in groupby(steps(theirs, own), key=lambda s: s[0] == "equal"):
@@ -111,7 +114,7 @@ def confusions(theirs: str, own: str) -> list[tuple[str, str, str]]:
             was = "".join(theirs[i] for kind, i, _ in run if kind != "insert")
             now = "".join(own[j] for kind, _, j in run if kind != "delete")
             out.append(("sub" if was and now else "del" if was else "ins", was, now))
-    return out
+    return tuple(out)
 
 
 def within(p: str, t: str) -> int:
