@@ -108,3 +108,10 @@ def _pictures(spark, sf_dir):
 def _views(spark, sf_dir):
     create_views(spark, page_signals=signals(spark, sf_dir))
     return spark.sql("SELECT lang, count(*) AS pages, count(damage_rate) AS scored FROM page_signals GROUP BY lang")
+
+
+@register("q_error_totals", "WITH p AS (SELECT p_brand, p_type, levenshtein(p_name, replace(replace(p_name, 'r', 'tt'), 'l', '')) AS e, length(p_name) AS n FROM part), r AS (SELECT *, CASE WHEN n > 0 THEN e / n WHEN e > 0 THEN 1.0 ELSE 0.0 END AS r FROM p) SELECT p_brand, p_type, count(e) AS n, round(CASE WHEN sum(n) > 0 THEN sum(e) / sum(n) END, 9) AS together, round(avg(r), 9) AS mean, round(median(r), 9) AS median FROM r GROUP BY 1, 2")
+def _totals(spark, sf_dir):
+    read = F.replace(F.replace("p_name", F.lit("r"), F.lit("tt")), F.lit("l"), F.lit(""))
+    p = table(spark, sf_dir, "part").select("p_brand", "p_type", F.levenshtein(F.col("p_name"), read).alias("e"), F.length("p_name").alias("n"))
+    return A.error_totals(p, ["p_brand", "p_type"], "e", "n").withColumns({c: F.round(c, 9) for c in ("together", "mean", "median")})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.distance import iou, match_boxes
+from ..functions.distance import error_rate, iou, match_boxes
 
 
 def banded(value: Column, edges: tuple[float, ...], names: tuple[str, ...]) -> Column:
@@ -207,3 +207,13 @@ def picture_agreement(pages: DataFrame, gold: str, found: str, typed: bool = Tru
         "n_gold", "n_found", "n_matched", (F.col("n_gold") - F.col("n_matched")).alias("lost"), (F.col("n_found") - F.col("n_matched")).alias("surplus"),
         F.try_divide("best", "n_gold").alias("mean_best"), F.try_divide("n_matched", "n_found").alias("precision"), F.try_divide("n_matched", "n_gold").alias("recall"),
     )
+
+
+def error_totals(rows: DataFrame, by: list[str], edits: str, size: str) -> DataFrame:
+    """Per group the readings, their rate over all letters together, and the mean and median of their own rates.
+
+    A reading of nothing has the rate 0 without edits, else 1; a group without letters has no rate together.
+    """
+    own = error_rate(F.col(edits), F.col(size))
+    total = F.when(F.sum(size) > 0, F.sum(edits) / F.sum(size))
+    return rows.groupBy(*by).agg(F.count(edits).alias("n"), total.alias("together"), F.avg(own).alias("mean"), F.median(own).alias("median"))
