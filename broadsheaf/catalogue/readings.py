@@ -56,13 +56,13 @@ def _japanese(spark, sf_dir):
 TERMS = ["the", "from", "time", "more"]
 
 
-@register("q_year_recall", f"WITH {PAGES}, b AS (SELECT year, coalesce(words, '') AS a, replace(coalesce(words, ''), 'm', 'rn') AS b FROM pg WHERE doc_id % 3 <> 0), t AS (SELECT unnest({TERMS}) AS term), c AS (SELECT year, term, contains(a, ' ' || term || ' ') AS a, contains(b, ' ' || term || ' ') AS b FROM b, t) SELECT year, term, count_if(a) AS ours, count_if(b) AS theirs, count_if(a OR b) AS either, count_if(b AND NOT a) AS only_theirs, round(CASE WHEN count_if(a) > 0 THEN count_if(b AND NOT a) / count_if(a) END, 9) AS gain FROM c GROUP BY 1, 2")
+@register("q_year_recall", f"WITH {PAGES}, b AS (SELECT year, coalesce(words, '') AS a, replace(coalesce(words, ''), 'm', 'rn') AS b FROM pg WHERE doc_id % 3 <> 0), t AS (SELECT unnest({TERMS}) AS term), c AS (SELECT year, term, contains(a, ' ' || term || ' ') AS a, contains(b, ' ' || term || ' ') AS b FROM b, t) SELECT year, term, count_if(a)::BIGINT AS ours, count_if(b)::BIGINT AS theirs, count_if(a OR b)::BIGINT AS either, count_if(b AND NOT a)::BIGINT AS only_theirs, round(CASE WHEN count_if(a) > 0 THEN count_if(b AND NOT a) / count_if(a) END, 9) AS gain FROM c GROUP BY 1, 2")
 def _recall(spark, sf_dir):
     p = text_pages(spark, sf_dir).where(F.pmod("doc_id", F.lit(3)) != 0).withColumn("theirs", F.replace("words", F.lit("m"), F.lit("rn")))
     return A.year_recall(p, TERMS, "words", "theirs").withColumn("gain", F.round("gain", 9))
 
 
-@register("q_year_summary", f"WITH {PAGES}, b AS (SELECT year, doc_id % 3 <> 0 AS shared, length(text) AS a, length(replace(text, 'm', 'rn')) AS b FROM pg) SELECT year, count(*) AS pages, count_if(shared) AS shared, round(count_if(shared) / count(*), 9) AS share, median(CASE WHEN shared THEN a END) AS chars_ours, median(CASE WHEN shared THEN b END) AS chars_theirs, round(sum(CASE WHEN shared THEN b END) / nullif(sum(CASE WHEN shared THEN a END), 0), 9) AS chars_ratio FROM b GROUP BY 1")
+@register("q_year_summary", f"WITH {PAGES}, b AS (SELECT year, doc_id % 3 <> 0 AS shared, length(text) AS a, length(replace(text, 'm', 'rn')) AS b FROM pg) SELECT year, count(*) AS pages, count_if(shared)::BIGINT AS shared, round(count_if(shared) / count(*), 9) AS share, median(CASE WHEN shared THEN a END) AS chars_ours, median(CASE WHEN shared THEN b END) AS chars_theirs, round(sum(CASE WHEN shared THEN b END) / nullif(sum(CASE WHEN shared THEN a END), 0), 9) AS chars_ratio FROM b GROUP BY 1")
 def _summary(spark, sf_dir):
     p = text_pages(spark, sf_dir, False)
     theirs = p.where(F.pmod("doc_id", F.lit(3)) != 0).select("doc_id", F.length(F.replace("text", F.lit("m"), F.lit("rn"))).alias("chars"))
@@ -93,7 +93,7 @@ def _crops(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", A.rewritten_crop(old).alias("url"))
 
 
-@register("q_picture_agreement", "WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity >= 5 AS has, l_tax <> 0.05 AS same, l_discount * 500 AS dx FROM lineitem), i AS (SELECT *, (80 - dx) * 60 / (9600 - (80 - dx) * 60) AS iou FROM b), c AS (SELECT *, max(CASE WHEN has AND same THEN iou END) OVER (PARTITION BY l_orderkey, l_linenumber) AS cover FROM i), m AS (SELECT count(*) AS n_gold, count_if(has) AS n_found, count_if(has AND same AND iou >= 0.5) AS n_matched, sum(coalesce(cover, 0)) AS best FROM c) SELECT n_gold, n_found, n_matched, n_gold - n_matched AS lost, n_found - n_matched AS surplus, round(best / n_gold, 6) AS mean_best, round(n_matched / n_found, 6) AS \"precision\", round(n_matched / n_gold, 6) AS recall FROM m")
+@register("q_picture_agreement", "WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity >= 5 AS has, l_tax <> 0.05 AS same, l_discount * 500 AS dx FROM lineitem), i AS (SELECT *, (80 - dx) * 60 / (9600 - (80 - dx) * 60) AS iou FROM b), c AS (SELECT *, max(CASE WHEN has AND same THEN iou END) OVER (PARTITION BY l_orderkey, l_linenumber) AS cover FROM i), m AS (SELECT count(*) AS n_gold, count_if(has)::BIGINT AS n_found, count_if(has AND same AND iou >= 0.5)::BIGINT AS n_matched, sum(coalesce(cover, 0)) AS best FROM c) SELECT n_gold, n_found, n_matched, n_gold - n_matched AS lost, n_found - n_matched AS surplus, round(best / n_gold, 6) AS mean_best, round(n_matched / n_found, 6) AS \"precision\", round(n_matched / n_gold, 6) AS recall FROM m")
 def _pictures(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     box = lambda x: (x.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(80.0).alias("w"), F.lit(60.0).alias("h"))
