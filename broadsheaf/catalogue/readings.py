@@ -16,21 +16,24 @@ TOP = 50
 
 
 def _three(spark, sf_dir):
-    """Whole texts as three readers have them, with what they agree on."""
-    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
-    return d.select("doc_id", R.consensus_of(F.col("text"), F.col("b"), F.col("c")).alias("x"))
+    """Whole texts as three readers have them."""
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.replace("text", F.lit("m"), F.lit("rn")).alias("b"), F.replace("text", F.lit("e"), F.lit("c")).alias("c"))
+
+
+READERS = ("text", "b", "c")
 
 
 # alignments of whole texts are beyond SQL: tests by brute force
 @register("q_consensus")
 def _consensus(spark, sf_dir):
-    per = _three(spark, sf_dir).select("doc_id", "x.words", F.posexplode(F.arrays_zip("x.own", "x.held")).alias("reader", "r"))
+    x = _three(spark, sf_dir).select("doc_id", R.consensus_of(*map(F.col, READERS)).alias("x"))
+    per = x.select("doc_id", "x.words", F.posexplode(F.arrays_zip("x.own", "x.held")).alias("reader", "r"))
     return per.select("doc_id", "reader", F.col("r.own").alias("own"), F.col("r.held").alias("held"), "words", F.round(F.try_divide("r.held", "words"), 9).alias("completeness"), F.round(F.try_divide("r.held", "r.own"), 9).alias("precision"))
 
 
 @register("q_confusions")
 def _confusions(spark, sf_dir):
-    n = _three(spark, sf_dir).select(F.explode("x.confusions").alias("c")).groupBy("c.reader", "c.kind", "c.was", "c.now").agg(F.count("*").alias("n"))
+    n = R.confusions_of(_three(spark, sf_dir), *map(F.col, READERS))
     order = F.row_number().over(W.partitionBy("reader").orderBy(F.desc("n"), "kind", "was", "now"))
     return n.withColumn("rank", order).where(F.col("rank") <= TOP)
 

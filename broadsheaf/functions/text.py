@@ -67,13 +67,16 @@ def rejoined(text: Column) -> Column:
 #: Ligatures that are spelt out.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
+#: All of category Cc but tabs and line ends.
+CONTROLS = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
+
 
 def normalise(raw: str | None, fraktur: bool = False, japanese: bool = False) -> str | None:
     """NFC; long s; controls dropped; ligatures; broken words rejoined; white space collapsed with single line ends."""
     if raw is None:
         return None
     t = unicodedata.normalize("NFC", raw).replace("ſ", "s")
-    t = "".join(c for c in t if c in "\n\t " or unicodedata.category(c) != "Cc")
+    t = CONTROLS.sub("", t)
     for a, b in LIGATURES.items():
         t = t.replace(a, b)
     marks = "-" if japanese else "-⸗¬‐"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -101,6 +102,30 @@ def test_consensus_query(spark):
         assert [((r["reader"], r["kind"], r["was"], r["now"]), r["n"]) for r in sorted(top, key=lambda r: r["rank"]) if r["reader"] == reader] == want
 
 
+def test_long_readings():
+    """Readings of 40,000 words: equal ones in place are told apart from others without a table of all pairs of words."""
+    r = random.Random(3)
+    text = " ".join(r.choice(["moment", "of", "mere", "time", "corn", "home", "am"]) + str(r.randrange(5000)) for _ in range(40_000))
+    texts = [text, text.replace("m", "rn"), text.replace("e", "c")]
+    own = [R.printed_words(t) for t in texts]
+    began = time.monotonic()
+    words, told = R.consensus(own)
+    assert time.monotonic() - began < 10
+    same = [[a == b for a, b in zip(own[i], own[j])] for i, j in ((0, 1), (0, 2), (1, 2))]
+    assert len(words) == sum(map(any, zip(*same))) and all(len(set(w.values())) == 1 for w in words)
+    assert Counter(k for k, _, _ in told) == Counter([1] * sum(c and not a for a, c in zip(same[0], same[1])) + [2] * sum(a and not c for a, c in zip(same[0], same[1])) + [0] * sum(z and not a for a, z in zip(same[0], same[2])))
+
+
+def test_confusions_counted_by_task(spark, monkeypatch):
+    """Counts handed over at every page, by pages in several tasks and with null texts, are those of all pages."""
+    monkeypatch.setattr(R, "HELD", 1)
+    pages = [*some_texts(60, 9), [None, "me am", "me am"], [None, None, None]]
+    df = spark.createDataFrame(pages, "a string, b string, c string").repartition(3)
+    got = {(r["reader"], r["kind"], r["was"], r["now"]): r["n"] for r in R.confusions_of(df, *(df[c] for c in "abc")).collect()}
+    want = Counter((r, *c) for t in pages for r, a, b in plain_consensus(t)[2] for c in R.confusions(a, b))
+    assert got == want and want
+
+
 def test_confusions():
     assert R.confusions("modern", "rnodem") == (("sub", "m", "rn"), ("sub", "rn", "m"))
     assert R.confusions("cat", "") == (("del", "cat", ""),) and R.confusions("", "a") == (("ins", "", "a"),) and R.confusions("x", "x") == ()
