@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows for work that costs far more than moving them: dealt over the cores where the scan has fewer parts than these."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows for work that costs far more than moving them: dealt over the cores.
+
+    How many parts the scan has says nothing: of a file's splits only those that a row group begins in hold rows.
+    """
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,11 @@ def test_union_of_missing_tables_and_neighbours(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], 2), (4, [-1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     got = {r["id"]: r["agreement"] for r in X.knn_agreement(v, 2).collect()}
     assert got[1] == 1.0 and got[3] == 0.0 and 4 not in got
+
+
+def test_rows_are_dealt_however_many_parts_a_scan_has(spark):
+    """Splits without the start of a row group are empty: many parts can hold their rows in one."""
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(4000).repartitionByRange(cores, F.lit(1))
+    rows = corpus.dealt(one).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert sum(r["count"] for r in rows) == 4000 and len(rows) >= cores and max(r["count"] for r in rows) < 4000 / cores
