@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -29,6 +30,19 @@ def test_whole_edits_against_a_table():
         assert X.whole_edits(a, b) == X.edits(a, b)
 
 
+def test_whole_edits_of_words_and_of_long_readings():
+    """Words beside each other count only where no other alignment can need less; a reading of 400,000 letters takes no table."""
+    r = random.Random(8)
+    for _ in range(400):
+        a = " ".join("".join(r.choice("mern") for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 12)))
+        for b in (a.replace("m", "rn"), a.replace("e", "c"), a[1:] + " m", "".join(r.choice([c, c, c, "m", " "]) for c in a)):
+            assert X.whole_edits(a, b) == X.edits(a, b)
+    text = " ".join(r.choice(["moment", "of", "mere", "time", "corn"]) for _ in range(80_000))
+    began = time.monotonic()
+    assert X.whole_edits(text.replace("m", "rn"), text.replace("e", "c")) == 2 * text.count("m") + text.count("e")
+    assert time.monotonic() - began < 10
+
+
 def test_edits_late_in_a_text(spark, whole):
     d, texts = whole
     pairs = {r["doc_id"]: r for r in queries()["q_pair_metrics"](spark, d).collect()}
