@@ -80,10 +80,10 @@ def normalise(raw: str | None, fraktur: bool = False, japanese: bool = False) ->
     for a, b in LIGATURES.items():
         t = t.replace(a, b)
     marks = "-" if japanese else "-⸗¬‐"
-    t = re.sub(rf"(?<=[^\W\d_])[{marks}][ \t]*\n\s*(?=[^\W\d_])", "", t)
+    t = re.sub(rf"[{marks}](?<=[^\W\d_].)[ \t]*\n\s*(?=[^\W\d_])", "", t)
     if fraktur:
         t = re.sub(r"(?<=[^\W\d_])—[ \t]*\n\s*(?=[a-zäöüß])", "", t)
-    t = re.sub(r"[^\S\n]+", " ", t)
+    t = re.sub(r"[^\S\n]{2,}|[^\S\n ]", " ", t)  # all but single blanks
     return re.sub(r" ?\n\s*", "\n", t).strip()
 
 
