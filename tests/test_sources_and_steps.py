@@ -118,9 +118,16 @@ def test_union_of_missing_tables_and_neighbours(spark):
     assert got[1] == 1.0 and got[3] == 0.0 and 4 not in got
 
 
-def test_rows_are_dealt_however_many_parts_a_scan_has(spark):
+def test_rows_are_dealt_however_many_parts_a_scan_has(spark, tmp_path):
     """Splits without the start of a row group are empty: many parts can hold their rows in one."""
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(4000).repartitionByRange(cores, F.lit(1))
-    rows = corpus.dealt(one).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
+    cores, most = spark.sparkContext.defaultParallelism, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "1000")
+    try:
+        one = spark.read.parquet(f"{tmp_path}/one.parquet")
+        assert one.rdd.getNumPartitions() >= cores
+        rows = corpus.dealt(one).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    finally:
+        spark.conf.set(most, before)
     assert sum(r["count"] for r in rows) == 4000 and len(rows) >= cores and max(r["count"] for r in rows) < 4000 / cores
