@@ -164,6 +164,39 @@ def test_placed_against_loops():
         assert R.placed(a, b) == (sum(len(" ".join(a[i : i + 40])) for i in range(0, len(a), 40)), sum(c for c, _ in want), sum(e for _, e in want))
 
 
+@pytest.mark.parametrize("few, side, table", [(0, 2048, 2_000_000), (0, 3, 2_000_000), (0, 2048, 50), (16, 2048, 2_000_000)])
+def test_within_side_by_side(monkeypatch, few, side, table):
+    """Patterns of no, one and several words of bits, with texts that are empty, longer, shorter and of other letters."""
+    for name, v in (("FEW", few), ("SIDE", side), ("TABLE", table)):
+        monkeypatch.setattr(R, name, v)
+    r = random.Random(8)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("ab" * 63, "ab" * 70), ("日本" * 40, "日x本" * 30), ("\U0010ffff" * 64, "\U0010ffff")]
+    for n in (1, 5, 62, 63, 64, 126, 127, 200) * 12:
+        p = "".join(r.choice("abcdé") for _ in range(n))
+        noisy = "".join(c if r.random() < 0.8 else r.choice(["", "a", "xy"]) for c in p)
+        pairs.append((p, r.choice([noisy, p, "zz" + noisy + "abc", noisy[n // 2 :], "".join(r.choice("abq") for _ in range(r.randint(0, 90)))])))
+    assert R.within_all(pairs).tolist() == [X.infix(p, t) for p, t in pairs]
+    assert R.within_all([]).tolist() == []
+
+
+def test_pieces_of_all_texts_are_compared_together(monkeypatch):
+    """Texts together agree as each alone does, and few of their pieces are compared one at a time."""
+    r = random.Random(17)
+    lexicon = ["".join(r.choice("abcdefghmn") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+    texts = [" ".join(r.choice(lexicon) for _ in range(r.randint(0, 400))) for _ in range(60)]
+    pairs = [(None, "a"), ("", None), *((t, r.choice([t, t.replace("m", "rn"), t[len(t) // 3 :] + t[: len(t) // 3], texts[0]])) for t in texts)]
+    one, calls = R.within, []
+    monkeypatch.setattr(R, "within", lambda p, t: calls.append(p) or one(p, t))
+    want = [R.agreement(*p) for p in pairs]
+    alone = len(calls)
+    assert R.agreements(pairs) == want
+    assert 2 * (len(calls) - alone) < alone
+    calls.clear()
+    long = " ".join(r.choice(lexicon) for _ in range(4000))  # 100 pieces, each way
+    R.agreement(long, long.replace("m", "rn"))
+    assert len(calls) < 100
+
+
 def test_agreement_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r["doc_id"]: r for r in queries()["q_text_agreement"](spark, SF).collect()}
