@@ -10,11 +10,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Vectors in a piece, voters that one task meets, rows of a piece that are scored at a time, groups of voters whose best give a first
 #: bound, and pairs whose exact similarity is summed at a time.
-PIECE, SPAN, TILE, GROUPS, PAIRS = 16384, 262_144, 512, 128, 1 << 16
+PIECE, SPAN, TILE, GROUPS, PAIRS = 16384, 524_288, 512, 128, 1 << 16
 #: Stands for a null class or page.
 NONE = -(2**63)
 
@@ -29,17 +30,20 @@ def unit(v: Column) -> Column:
 def knn_agreement(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", class_col: str = "label", page: Column | None = None) -> DataFrame:
     """For each vector the similarity-weighted share of its k nearest others (positive cosine, another page) of its class.
 
-    All pairs are scored. Pieces of rows meet spans of voters as a product of partitions, which reads what each side's one shuffle
-    wrote and writes nothing again; a task keeps its k best, so what is shuffled is k rows per vector and span. Ids and vectors
+    All pairs are scored. Pieces of rows meet spans of voters as a product of partitions, which reads what the one shuffle of the
+    vectors wrote and writes nothing again; a task keeps its k best, so what is shuffled is k rows per vector and span. Ids and vectors
     that are null, and vectors with null or non-finite components, take no part; shorter vectors count as if padded with zeros.
     """
     from pyspark.sql import Window as W
 
     page = page if page is not None else F.col(id_col)
-    v = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(class_col).cast("int").cast("long").alias("c"), page.cast("long").alias("p"), unit(F.col(vector_col)).alias("v"))
+    v = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(class_col).cast("int").cast("long").alias("c"), page.cast("long").alias("p"), F.col(vector_col).alias("v"))
+    if v.schema["v"].dataType != T.ArrayType(T.FloatType()):
+        v = v.withColumn("v", F.col("v").cast("array<double>"))
     n, cores = v.count(), vectors.sparkSession.sparkContext.defaultParallelism
-    rows = _pieces(v, max(1, -(-n // PIECE), min(cores, -(-n // 1024))), None)
-    voters = _pieces(v, max(1, -(-n // SPAN)), k)
+    parts = max(1, -(-n // PIECE), min(cores, -(-n // 1024)))
+    v = v.repartitionById(parts, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    rows, voters = _pieces(v, None), _pieces(v.coalesce(max(1, -(-n // SPAN))), k)
     pairs = rows.hint("shuffle_replicate_nl").crossJoin(voters.select(*(F.col(x).alias(f"v_{x}") for x in voters.columns)))
 
     def told(own: tuple, held: tuple) -> pa.RecordBatch:
@@ -66,8 +70,8 @@ def knn_agreement(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col
     return best.groupBy("id", "c").agg(share).select("id", F.col("c").cast("int").alias("c"), "agreement")
 
 
-def _pieces(vectors: DataFrame, parts: int, keep: int | None) -> DataFrame:
-    """Vectors dealt to so many parts by id and packed into pieces; with ``keep`` without copies that can be no one's ``keep`` best."""
+def _pieces(vectors: DataFrame, keep: int | None) -> DataFrame:
+    """Vectors of each part packed into pieces; with ``keep`` without copies that can be no one's ``keep`` best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, left = TaskContext.get().partitionId() << 32, []
@@ -85,20 +89,27 @@ def _pieces(vectors: DataFrame, parts: int, keep: int | None) -> DataFrame:
     def packed(t: pa.Table, number: int) -> pa.RecordBatch:
         v = t.column("v").combine_chunks()
         lens = pc.list_value_length(v).to_numpy(zero_copy_only=False)
-        data = np.zeros((len(lens), int(lens.max(initial=0))))
-        data[np.arange(data.shape[1]) < lens[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+        flat = v.flatten().to_numpy(zero_copy_only=False)
+        data = np.zeros((len(lens), int(lens.max(initial=0))), flat.dtype)
+        data[np.arange(data.shape[1]) < lens[:, None]] = flat
         ids, c, p = (pc.fill_null(t.column(x), NONE).to_numpy() for x in ("id", "c", "p"))
         some = np.flatnonzero(np.isfinite(data).all(1))
         if keep:
             some = some[_needed(ids[some], p[some], data[some], keep)]
         return pa.record_batch([pa.array([number]), pa.array([data.shape[1]], pa.int32()), *(pa.array([x[some].tobytes()], pa.binary()) for x in (ids, c, p, data))], ["piece", "dims", "ids", "classes", "pages", "data"])
 
-    return vectors.repartitionById(parts, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).mapInArrow(run, "piece long, dims int, ids binary, classes binary, pages binary, data binary")
+    return vectors.mapInArrow(run, "piece long, dims int, ids binary, classes binary, pages binary, data binary")
 
 
 def _open(r: dict, head: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, classes, pages and vectors of length one, as ``unit`` makes them."""
     ids, c, p = (np.frombuffer(r[head + x], np.int64) for x in ("ids", "classes", "pages"))
-    return ids, c, p, np.frombuffer(r[head + "data"]).reshape(len(ids), r[head + "dims"])
+    shape = len(ids), r[head + "dims"]
+    data = np.frombuffer(r[head + "data"], np.float32 if len(r[head + "data"]) == 4 * shape[0] * shape[1] else np.float64).reshape(shape).astype(np.float64)
+    norm = np.zeros(len(ids))
+    for x in data.T:
+        norm += x * x
+    return ids, c, p, data / np.sqrt(np.where(norm > 0, norm, 1))[:, None]
 
 
 def _turn(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:

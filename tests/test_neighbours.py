@@ -78,5 +78,7 @@ def test_best_of_pieces_in_tiles(monkeypatch):
 def test_vectors_are_moved_once(spark):
     """No side is multiplied before a shuffle: pieces meet as a product of partitions."""
     v = spark.createDataFrame([(i, [1.0, float(i)], 1) for i in range(9)], "vec_id long, embedding array<float>, label int")
-    plan = X.knn_agreement(v, 2)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" in plan and "Generate" not in plan
+    found = X.knn_agreement(v, 2)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "ReusedExchange" in plan
